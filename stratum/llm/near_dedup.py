@@ -297,10 +297,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     coarse = components(grouped.select("members").mapInArrow(_coarse(plan), "a long, b long"))
 
     coarse = saved(coarse.select("node", F.col("component").alias("coarse")), "coarse")
-    texts = src.join(coarse, src["doc_id"] == coarse["node"]).select("node", "coarse", "text")
+    texts = src.join(coarse.hint("merge"), src["doc_id"] == coarse["node"]).select("node", "coarse", "text")
     sets = saved(texts.mapInArrow(_set_rows(plan), "node long, coarse long, shingles binary"), "sets")
     least = sets.where("node = coarse").select("coarse", F.col("shingles").alias("lead"))
-    star = sets.where("node <> coarse").join(least, "coarse").select("node", "coarse", "shingles", "lead").mapInArrow(_starred(plan), "node long, coarse long, near boolean")
+    star = sets.where("node <> coarse").join(least.hint("merge"), "coarse").select("node", "coarse", "shingles", "lead").mapInArrow(_starred(plan), "node long, coarse long, near boolean")
     star = saved(star, "star")
     rest = star.where("not near").select("node", "coarse").distinct()
     counts = star.groupBy("coarse").agg((F.countDistinct("node") + 1).alias("n"), F.count_if(~F.col("near")).alias("open")).where("n > 2 and open > 0")
