@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, quality_rules, substring_dedup
+from . import near_dedup, packing, pii, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii)}
 ORACLES: dict[str, str] = {}
