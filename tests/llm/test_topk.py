@@ -1,0 +1,44 @@
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from stratum.llm.topk import top_k
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+def brute(rows, is_query, k=5):
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in {i: v for i, v in ok if is_query(i)}.items():
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def run(df, **kw):
+    return sorted(map(tuple, top_k(df, df.where("vec_id % 50 = 0"), **kw).collect()))
+
+
+def test_whole_table(spark):
+    df = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = brute(rows, lambda i: i % 50 == 0)
+    assert run(df) == want
+    assert run(df.repartition(6), lanes=3, block=17, query_block=4) == want
+
+
+def test_edges(spark):
+    schema = "vec_id long, embedding array<float>, score long, lane int"
+    assert run(spark.createDataFrame([], schema)) == []
+    r = random.Random(1)
+    rows = [(i, [r.choice([0.0, 0.5, -0.25]) for _ in range(r.randrange(0, 5))]) for i in range(120)]
+    rows += [(200, None), (250, [1.0, None]), (300, [float("nan")]), (350, [float("inf"), 1.0]), (None, [1.0]), (400, [0.5, 0.5]), (400, [0.5, 0.5]), (7, rows[7][1])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], schema)
+    assert run(df.repartition(3), block=10) == brute(rows, lambda i: i % 50 == 0)
+    one = spark.createDataFrame([(50, [1.0], 0, 0)], schema)
+    assert run(one) == []
+    same = spark.createDataFrame([(i, [1.0, 1.0], 0, 0) for i in range(3000)], schema).repartition(5)
+    got = top_k(same, same.where(F.col("vec_id") == 2)).collect()
+    assert [(g.rank, g.vec_id) for g in sorted(got, key=lambda g: g.rank)] == [(1, 0), (2, 1), (3, 3), (4, 4), (5, 5)]
