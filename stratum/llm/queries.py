@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, pii, quality_rules, sharding, substring_dedup, topk
+from . import html_text, near_dedup, packing, pii, quality_rules, sharding, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +42,9 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii, op5_sharding, op8_topk)}
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii, op5_sharding, op8_topk, op2_html_text)}
 ORACLES: dict[str, str] = {}
