@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, near_dedup, packing, pii, quality_rules, sharding, substring_dedup, topk
+from . import html_text, near_dedup, packing, pii, quality_rules, sharding, substring_dedup, topk, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,11 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii, op5_sharding, op8_topk, op2_html_text)}
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return unigram.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii, op5_sharding, op8_topk, op2_html_text, op6_sentencepiece)}
 ORACLES: dict[str, str] = {}
