@@ -38,58 +38,85 @@ END_ID = 1
 
 
 class WordCache:
-    """Token ids of white-space separated words, in a flat pool of bounded size.
+    """Token ids of white-space separated words, in sorted arrays of bounded size.
 
     The tokenizers supported here never join tokens across ASCII white space
     (it is dropped before the merges), so a text's ids are those of its words.
+    Words are known by a 64-bit hash together with their length and first bytes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    MARK = "\x01"  # encoded between words, so that many words take one call
+
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        alone = self.tokenizer.encode(f"a {self.MARK} a", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and alone.count(mark[0]) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.key = np.zeros(0, np.uint64)
+        self.check = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.n = self.used = 0
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of words in the pool; new ones are encoded together."""
-        if len(self.place) + len(words) > self.most:
-            self.clear()
-        place = self.place
-        got = [place.get(w, -1) for w in words]
-        new = [k for k, x in enumerate(got) if x < 0]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in new], add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((y for x in ids for y in x), np.uint32, int(size.sum()))
+        self.used = 0
+
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of words."""
+        if self.mark is None or any(self.MARK in w for w in words):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter((y for x in ids for y in x), np.uint32, sum(map(len, ids))), np.array([len(x) for x in ids], np.int64)
+        texts = [f" {self.MARK} ".join([*words[i : i + 64], ""]) for i in range(0, len(words), 64)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == self.mark)
+        assert len(ends) == len(words)
+        return np.delete(flat, ends), np.diff(np.r_[-1, ends]) - 1
+
+    def places(self, key: np.ndarray, check: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes in the pool of distinct words in key order; word(k) gives the k-th as text."""
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        known = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        new = np.flatnonzero(~known)
+        start, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        if len(new):
+            flat, n = self.fresh([word(k) for k in new.tolist()])
+            if len(self.key) + len(new) > self.most:
+                hit = np.repeat(start[known] - np.cumsum(size[known]) + size[known], size[known]) + np.arange(size[known].sum())
+                kept = self.pool[hit]  # what this chunk uses stays
+                self.clear()
+                while len(kept) > len(self.pool):
+                    self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+                self.pool[: len(kept)] = kept
+                self.used = len(kept)
+                start[known] = np.cumsum(size[known]) - size[known]
+                self.key, self.check, self.start, self.size = key[known], check[known], start[known], size[known].astype(np.int32)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-            while self.n + len(new) + 1 > len(self.starts):
-                self.starts = np.r_[self.starts, np.zeros_like(self.starts)]
             self.pool[self.used : self.used + len(flat)] = flat
-            self.starts[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(size)
-            for k in new:
-                place[words[k]] = self.n
-                got[k] = self.n
-                self.n += 1
+            start[new], size[new] = self.used + np.cumsum(n) - n, n
             self.used += len(flat)
-        return np.array(got, np.int64)
+            where = np.searchsorted(self.key, key[new])
+            self.key, self.check = np.insert(self.key, where, key[new]), np.insert(self.check, where, check[new])
+            self.start, self.size = np.insert(self.start, where, start[new]), np.insert(self.size, where, n.astype(np.int32))
+        return start, size
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, each followed by end_id, and their offsets."""
         w = K.Words(buf, off)
-        _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        key, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        s, e = w.start[first], w.end[first]
+        check = (e - s).astype(np.uint64)
+        for j in range(4):
+            check = check << np.uint64(8) | np.where(s + j < e, buf[np.minimum(s + j, max(len(buf) - 1, 0))], 0).astype(np.uint64) if len(s) else check
         data = buf.tobytes()
-        number = self.numbers([data[s:e] for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
-        begin = self.starts[number][inverse]
-        size = (self.starts[number + 1] - self.starts[number])[inverse] if len(number) else np.zeros(0, np.int64)
+        begin, size = self.places(key, check, lambda k: data[s[k] : e[k]].decode("utf-8", "replace"))
+        begin, size = begin[inverse], size[inverse]
         total = np.r_[0, np.cumsum(size)]
         flat = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
         at = total[w.first]
