@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, near_dedup, packing, pii, quality_rules, sharding, substring_dedup, topk, unigram
+from . import html_text, near_dedup, ordinal, packing, pii, quality_rules, sharding, substring_dedup, topk, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +53,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii, op5_sharding, op8_topk, op2_html_text, op6_sentencepiece)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 good; kept are texts that are likely good."""
+    docs = table(spark, sf_dir, "documents")
+    grades = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") > 0, 0).otherwise(F.col("quality") + 1).alias("grade"))
+    return ordinal.score(docs, ordinal.fit(docs, grades))
+
+
+QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_near_dedup, op1_substring_dedup, op4_packing, op7_pii, op5_sharding, op8_topk, op2_html_text, op6_sentencepiece, op3_quality_classifier)}
 ORACLES: dict[str, str] = {}
