@@ -32,7 +32,7 @@ _SYMBOL[list(SYMBOLS)] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. Shares are of the characters inside words.
+    """Thresholds, in percent. Shares are of the characters inside words.
 
     `gram_share` holds (n, most share inside duplicated n-grams); each length must
     be larger than the one before, which lets longer n-grams be looked for only
@@ -40,11 +40,11 @@ class Rules:
     """
 
     min_words: int = 50
-    max_repeat_words: float = 0.5
-    gram_share: tuple[tuple[int, float], ...] = ((5, 0.30), (7, 0.28), (10, 0.26))
-    line_share: float = 0.2
-    dup_line_share: float = 0.5
-    symbols_per_word: float = 0.1
+    max_repeat_words: int = 50
+    gram_share: tuple[tuple[int, int], ...] = ((5, 30), (7, 28), (10, 26))
+    line_share: int = 20
+    dup_line_share: int = 50
+    symbols_per_word: int = 10
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, dup_gram_chars array<long>, base_failed boolean, kept boolean"
@@ -103,10 +103,10 @@ def measure(buf: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
     out["dup_gram_chars"] = shares
 
     words, letters = out["n_words"], np.maximum(out["word_chars"], 1)
-    out["base_failed"] = (words < rules.min_words) | (out["n_repeat_words"] > rules.max_repeat_words * words)
-    bad = out["base_failed"] | (out["dup_line_chars"] > rules.line_share * letters) | (out["n_dup_lines"] > rules.dup_line_share * np.maximum(n_lines, 1)) | (out["n_symbols"] > rules.symbols_per_word * words)
+    out["base_failed"] = (words < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_words * words)
+    bad = out["base_failed"] | (100 * out["dup_line_chars"] > rules.line_share * letters) | (100 * out["n_dup_lines"] > rules.dup_line_share * np.maximum(n_lines, 1)) | (100 * out["n_symbols"] > rules.symbols_per_word * words)
     for (_, most), got in zip(rules.gram_share, shares, strict=True):
-        bad |= got > most * letters
+        bad |= 100 * got > most * letters
     out["kept"] = ~bad
     return out
 
@@ -123,6 +123,7 @@ def measured(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray | list[np.nd
 def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, the figures and `kept`."""
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = measured(b.column(1), rules)
@@ -138,6 +139,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -
     """The rows that pass, all columns unchanged."""
     where = docs.columns.index(text_col)
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(measured(b.column(where), rules)["kept"]))
