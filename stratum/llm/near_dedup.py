@@ -100,6 +100,7 @@ def keys(sig: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def _sketch(plan: Plan):
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, off in K.chunks(b.column(1)):
@@ -122,6 +123,7 @@ def _matrix(arr: pa.Array, n: int) -> np.ndarray:
 
 
 def _keyed(plan: Plan):
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -221,6 +223,7 @@ def _coarse(plan: Plan):
 
 
 def _set_rows(plan: Plan):
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, off in K.chunks(b.column(2)):

@@ -47,7 +47,7 @@ class WordCache:
 
     MARK = "\x01"  # encoded between words, so that many words take one call
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,15 +125,6 @@ class WordCache:
         return np.insert(flat, at[1:], np.uint32(end_id)), at + np.arange(len(at))
 
 
-_caches: dict[str, WordCache] = {}
-
-
-def cached(path: str) -> WordCache:
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
-
-
 def fill(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """Combinations [(length, how many), ...], each with the number of bins that get it.
 
@@ -198,11 +189,12 @@ class Places:
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = cached(path), TaskContext.get().partitionId()
+        cache, part = WordCache(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            for i, j, buf, off in K.chunks(b.column(1), 4 * K.CHUNK_BYTES):
+            for i, j, buf, off in K.chunks(b.column(1), 2 * K.CHUNK_BYTES):
                 ids, at = cache.encode(buf, off, end_id)
                 size = np.diff(at)
                 count = -(-size // capacity)

@@ -153,6 +153,7 @@ def _base(limits: Limits):
     hint = np.zeros(256, bool)
     hint[list(b"@0123456789")] = True
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -178,6 +179,7 @@ def _base(limits: Limits):
 def _term_counts(most: int = 1_000_000):
     """Documents per term, summed within the task (in portions of bounded size)."""
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -270,8 +272,9 @@ def generalise(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+@K.tidied
 def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in K.slices(batches):
         out = []
         for text, extra in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if text is not None:

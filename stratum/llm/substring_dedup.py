@@ -139,6 +139,7 @@ def minima(h: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
 def _units(plan: Plan, place: bool):
     """Paragraph rows: with place, where each stands; else its band keys."""
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -168,6 +169,7 @@ def _units(plan: Plan, place: bool):
 def _unit_sets(plan: Plan):
     """(text, nodes, units) to the shingle sets of those paragraphs."""
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wanted = b.column(1).to_pylist()
@@ -254,8 +256,9 @@ def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
     return spans.where(F.col("n_words") >= plan.min_words).select("doc_id", "start", "end", "n_words", F.col("lead.keep.doc_id").alias("keep_doc_id"), F.col("lead.component").alias("component_id"))
 
 
+@K.tidied
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in K.slices(batches):
         out = []
         for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if text is not None and spans:

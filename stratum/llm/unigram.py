@@ -265,7 +265,7 @@ def _many(m: Model, words: list[bytes]) -> list[np.ndarray]:
 class PieceCache(WordCache):
     """Ids of words (with the white space before them) by Viterbi search."""
 
-    def __init__(self, model: Model, most: int = 2_000_000):
+    def __init__(self, model: Model, most: int = 800_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -313,25 +313,15 @@ def decode(m: Model, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [data[s + (cut if data[s : s + 1] == b" " else 0) : e] if e > s else b"" for s, e in zip(to[at[:-1]].tolist(), to[at[1:]].tolist(), strict=True)]
 
 
-_caches: dict[int, PieceCache] = {}
-
-
-def _cache(model: Model, key: int) -> PieceCache:
-    if key not in _caches:
-        _caches.clear()
-        _caches[key] = PieceCache(model)
-    return _caches[key]
-
-
 def encode(docs: DataFrame, path: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_ids, n_fallback (byte pieces), ids_crc32, decoded_crc32, round_trip (and ids as little-endian uint32)."""
     model = read_model(path)
-    key = zlib.crc32(path.encode())
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(model, key)
+        cache = PieceCache(model)
         for b in batches:
-            for i, j, buf, off in K.chunks(b.column(1), 4 * K.CHUNK_BYTES):
+            for i, j, buf, off in K.chunks(b.column(1), 2 * K.CHUNK_BYTES):
                 data = buf.tobytes()
                 texts = [data[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 ids, at = cache.encode_texts(texts)
