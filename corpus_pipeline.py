@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm import near_dedup, packing, pii, quality_rules, substring_dedup
 from stratum.llm.storage import saved
+from stratum.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
+    ship(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents of similarity 0.8 or more on five-word shingles, one stays."""
+    ship(spark)
     return near_dedup.keep_first(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents are cut out of all but the first."""
+    ship(spark)
     return substring_dedup.cut(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and terms that reveal it, are generalised."""
+    ship(spark)
     return pii.sanitise(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """The remaining texts as token sequences."""
+    ship(spark)
     if tokenizer is None:
         import public_tokenizers
 
