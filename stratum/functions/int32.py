@@ -30,9 +30,9 @@ def in_range(x: Column, low: int | None, high: int | None) -> Column | None:
 def aggregate(kind: str, x: Column) -> Column:
     """min, max, sum and avg, with the identities of the empty input: INT_MAX, INT_MIN, 0 and 0.0."""
     if kind == "min":
-        return F.coalesce(F.min(x), F.lit(INT_MAX))
+        return F.coalesce(F.min(x).cast("int"), F.lit(INT_MAX))
     if kind == "max":
-        return F.coalesce(F.max(x), F.lit(INT_MIN))
+        return F.coalesce(F.max(x).cast("int"), F.lit(INT_MIN))
     total = F.coalesce(F.sum(x.cast("long")), F.lit(0).cast("long"))
     if kind == "sum":
         return total

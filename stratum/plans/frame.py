@@ -95,12 +95,15 @@ class NumVal:
     value: int | float | None = field(default=None)
 
 
-def base_frame(table: str, version: int, df: DataFrame, rows: int | None = None) -> Frame:
-    """A frame over a table version, whose columns get a prefix of their own."""
+def base_frame(table: str, version: int, df: DataFrame, rows: int | None = None, bare: DataFrame | None = None) -> Frame:
+    """A frame over a table version, whose columns get a prefix of their own; `bare`: the same rows without positions."""
     prefix = f"t{next(_numbers)}_"
     source = Source(table, version, prefix)
     renamed = df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in df.columns))
-    return Frame(renamed, [source], [source.pos], length=rows)
+    covering = None
+    if bare is not None:
+        covering = frozenset(prefix + c for c in bare.columns), bare.select(*(F.col(f"`{c}`").alias(prefix + c) for c in bare.columns))
+    return Frame(renamed, [source], [source.pos], length=rows, covering=covering)
 
 
 def renamed(frame: Frame) -> tuple[Frame, dict[str, str]]:

@@ -54,7 +54,7 @@ class Session:
         self.flush(table)
         key = table.name, table.number
         if key not in self._frames:
-            f = base_frame(table.name, table.number, storage.read_version(self.spark, table), table.version.rows)
+            f = base_frame(table.name, table.number, storage.read_version(self.spark, table), table.version.rows, storage.without_positions(self.spark, table))
             prefix = f.sources[0].prefix
             for column, path in table.version.indexes.items():
                 side = self.spark.read.schema(f"`{column}` int, {storage.POS} long").parquet(path)
@@ -233,7 +233,7 @@ class Session:
         df = frame.over(uses)
         if ordered:
             df = df.orderBy(*frame.order)
-        return df.select(*(v.column.alias(f"v{i}") for i, v in enumerate(found)))
+        return df.select(*(v.column.cast("int").alias(f"v{i}") for i, v in enumerate(found)))
 
     def position_rows(self, *names: str) -> DataFrame:
         """Aligned position vectors as columns p0, p1, ... of a DataFrame."""

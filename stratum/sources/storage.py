@@ -28,7 +28,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 def write_segment(catalog: Catalog, table: Table, df: DataFrame) -> Segment:
     """Write rows in the order of their partitions."""
     path = catalog.fresh(table.name)
-    _numbered(df.select(*table.columns)).write.parquet(path)
+    _numbered(df.select(*(F.col(f"`{c}`").cast("int").alias(c) for c in table.columns))).write.parquet(path)
     counts = {r[PART]: r["n"] for r in df.sparkSession.read.parquet(path).groupBy(PART).agg(F.count("*").alias("n")).collect()}
     offsets, at = [], 0
     for part in range(max(counts, default=-1) + 1):
@@ -54,8 +54,8 @@ def read_segment(spark: SparkSession, table: Table, segment: Segment, base: int)
 def read_version(spark: SparkSession, table: Table, version: Version | None = None) -> DataFrame:
     """All columns of a version and the position of each row."""
     if version is None and table.external is not None:
-        ints = (F.expr(f"cast(`{c}` as int)").alias(c) for c in table.columns)
-        return spark.read.parquet(table.external).select(*ints, F.col("_metadata.row_index").alias(POS))
+        # not cast: comparisons then reach the scan; what is shown or written is cast, which raises beyond 32 bits
+        return spark.read.parquet(table.external).select(*table.columns, F.col("_metadata.row_index").alias(POS))
     version = version or table.version
     out, base = None, 0
     for s in version.segments:
@@ -141,6 +141,11 @@ def attach(catalog: Catalog, spark: SparkSession, name: str, path: str, columns:
     return catalog.tables[name]
 
 
+def without_positions(spark: SparkSession, table: Table) -> DataFrame | None:
+    """The rows of an attached table for work that needs no positions (row numbers cannot be pruned from a scan)."""
+    return spark.read.parquet(table.external).select(*table.columns) if table.external is not None else None
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share, for tables that need not last."""
     top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
