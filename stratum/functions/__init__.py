@@ -1 +1 @@
-
+"""Scalar and aggregate functions as Catalyst expressions."""

@@ -17,31 +17,40 @@ def insert(catalog: Catalog, spark: SparkSession, table: Table, rows: list[tuple
     storage.append(catalog, table, spark.createDataFrame(rows, storage.schema(table)).coalesce(1))
 
 
-def _marked(spark: SparkSession, table: Table, p: PosVec) -> tuple[DataFrame, str]:
-    """The current rows with a column that says whether p has their position.
+def _plain(table: Table, p: PosVec) -> bool:
+    """Whether p is a plain filter over the current version, which needs no join to mark its rows."""
+    s = p.source
+    return p.frame.predicate is not None and s is not None and (s.table, s.version) == (table.name, table.number)
+
+
+def _hit(df: DataFrame, p: PosVec) -> DataFrame:
+    """The rows with a column that says whether p's filter holds."""
+    prefix = p.source.prefix
+    marked = df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in df.columns)).withColumn("__hit", F.coalesce(p.frame.predicate, F.lit(False)))
+    return marked.select(*(F.col(prefix + c).alias(c) for c in df.columns), "__hit")
 
-    Positions of a plain filter over this version need no join: the filter is the mark.
-    """
+
+def _marked(spark: SparkSession, table: Table, p: PosVec) -> DataFrame:
+    """The current rows with a column that says whether p has their position."""
     df = storage.read_version(spark, table)
-    s = p.source
-    if p.frame.predicate is not None and s is not None and (s.table, s.version) == (table.name, table.number):
-        names = {c: s.prefix + c for c in df.columns}
-        marked = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).withColumn("__hit", F.coalesce(p.frame.predicate, F.lit(False)))
-        return marked.select(*(F.col(n).alias(c) for c, n in names.items()), "__hit"), "__hit"
+    if _plain(table, p):
+        return _hit(df, p)
     at = positions(p)
     hits = p.frame.df.select(F.col(at).alias(storage.POS)).distinct().withColumn("__hit", F.lit(True))
-    return df.join(hits, storage.POS, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False))), "__hit"
+    return df.join(hits, storage.POS, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
 
 
 def delete(catalog: Catalog, spark: SparkSession, table: Table, p: PosVec) -> None:
     """Without the rows at the positions of p; the others close up."""
-    df, hit = _marked(spark, table, p)
-    storage.rewrite(catalog, table, df.where(~F.col(hit)).drop(hit))
+    storage.rewrite(catalog, table, _marked(spark, table, p).where("not __hit").drop("__hit"))
 
 
 def update(catalog: Catalog, spark: SparkSession, table: Table, column: str, p: PosVec, value: int) -> None:
     """One column set to a value at the positions of p."""
     if not -(2**31) <= value < 2**31:
         raise StatementError(f"Value out of range: {value}.")
-    df, hit = _marked(spark, table, p)
-    storage.rewrite(catalog, table, df.withColumn(column, F.when(F.col(hit), F.lit(value)).otherwise(F.col(f"`{column}`"))).drop(hit))
+    change = lambda df: df.withColumn(column, F.when(F.col("__hit"), F.lit(value)).otherwise(F.col(f"`{column}`"))).drop("__hit")
+    if _plain(table, p) and table.external is None and column != table.clustered:
+        storage.replace_values(catalog, spark, table, lambda df: change(_hit(df, p)))
+    else:
+        storage.rewrite(catalog, table, change(_marked(spark, table, p)))

@@ -1 +1 @@
-
+"""Statements, symbolic handles and sessions."""

@@ -1 +1 @@
-
+"""Catalog, CSV loading and immutable parquet versions."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,13 @@ def schema(table: Table) -> str:
     return ", ".join(f"`{c}` int" for c in table.columns)
 
 
+def raw_segment(spark: SparkSession, table: Table, segment: Segment) -> DataFrame:
+    """The rows as stored, with partition and place."""
+    return spark.read.schema(f"{schema(table)}, {PART} int, {ROW} long").parquet(segment.path)
+
+
 def read_segment(spark: SparkSession, table: Table, segment: Segment, base: int) -> DataFrame:
-    df = spark.read.schema(f"{schema(table)}, {PART} int, {ROW} long").parquet(segment.path)
+    df = raw_segment(spark, table, segment)
     if len(segment.offsets) <= 1:
         pos: Column = F.lit(base) + F.col(ROW)
     else:
@@ -97,6 +103,16 @@ def rewrite(catalog: Catalog, table: Table, df: DataFrame) -> None:
     publish(catalog, df.sparkSession, table, [write_segment(catalog, table, ordered(df, *keys))])
 
 
+def replace_values(catalog: Catalog, spark: SparkSession, table: Table, change: Callable[[DataFrame], DataFrame]) -> None:
+    """A new version whose rows keep their positions: written file by file, without a shuffle or a count."""
+    segments = []
+    for s in table.version.segments:
+        path = catalog.fresh(table.name)
+        change(raw_segment(spark, table, s)).select(*table.columns, PART, ROW).write.parquet(path)
+        segments.append(Segment(path, s.offsets, s.rows))
+    publish(catalog, spark, table, segments)
+
+
 def append(catalog: Catalog, table: Table, rows: DataFrame) -> None:
     """Rows after the existing ones; a clustered table is merged, others only grow by files."""
     spark = rows.sparkSession

@@ -1 +1 @@
-
+"""The column language has no streams; this package is kept for sources and sinks that extend it."""

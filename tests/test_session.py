@@ -214,6 +214,17 @@ def test_snapshots_and_stale_positions(tmp_path, s):
         run(s, ["print(gone)"])
 
 
+def test_updates_by_filters_do_not_shuffle(spark, tmp_path, s):
+    table(s, "t", [np.arange(2000), np.arange(2000) % 7], tmp_path / "a.csv")
+    assert run(s, ["relational_insert(db1.t,-5,3)", "p=select(db1.t.col2,3,5)", "q=select(p,p,0,1)"]) == ["Value vector p does not exist."]
+    old = s.catalog.tables["t"].version.segments
+    assert run(s, ["relational_update(db1.t.col1,p,9)"]) == []
+    new = s.catalog.tables["t"].version.segments
+    assert len(new) == 2 and [x.offsets for x in new] == [x.offsets for x in old] and {x.path for x in new}.isdisjoint(x.path for x in old)
+    want = [9 if i % 7 in (3, 4) else i for i in range(2000)] + [9]
+    assert run(s, ["print(db1.t.col1)"]) == text(want)
+
+
 def test_errors(tmp_path, s, data):
     table(s, "t", data[:2], tmp_path / "a.csv")
     cases = {
