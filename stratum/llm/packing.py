@@ -37,17 +37,39 @@ CAPACITY = 4096
 END_ID = 1
 
 
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?*%&$#")] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def segments(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words, with up to three closing marks after a letter or digit apart."""
+    s, e, buf = w.start, w.end.copy(), w.buf
+    if not len(s):
+        return s, e
+    for _ in range(3):
+        e -= (e - s > 1) & _TAIL[buf[e - 1]]
+    last = buf[e - 1]
+    latin = (buf[np.maximum(e - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (e - s > 1)
+    cut = np.flatnonzero((e < w.end) & (_PLAIN[last] | latin))
+    begin = np.insert(s, cut + 1, e[cut])
+    end = np.insert(w.end, cut, e[cut])
+    return begin, end
+
+
 class WordCache:
     """Token ids of white-space separated words, in sorted arrays of bounded size.
 
-    The tokenizers supported here never join tokens across ASCII white space
-    (it is dropped before the merges), so a text's ids are those of its words.
+    The tokenizers supported here lower-case, drop ASCII white space and never
+    merge letters or digits with the marks after them, so a text's ids are those
+    of its words, without regard to the case of A-Z, and of their closing marks.
     Words are known by a 64-bit hash together with their length and first bytes.
     """
 
     MARK = "\x01"  # encoded between words, so that many words take one call
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,6 +77,9 @@ class WordCache:
         self.most = most
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         alone = self.tokenizer.encode(f"a {self.MARK} a", add_special_tokens=False).ids
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        if ids("Some Words, here.") != [i for x in ("some", "words", ",", "here", ".") for i in ids(x)]:
+            raise ValueError("this tokenizer does not treat words one by one, whatever their case")
         self.mark = mark[0] if len(mark) == 1 and alone.count(mark[0]) == 1 else None
         self.clear()
 
@@ -63,6 +88,7 @@ class WordCache:
         self.check = np.zeros(0, np.uint64)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
+        self.again = np.zeros(0, np.uint8)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -77,25 +103,42 @@ class WordCache:
         assert len(ends) == len(words)
         return np.delete(flat, ends), np.diff(np.r_[-1, ends]) - 1
 
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are known, and where those are."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        known = (self.key[at] == key) & (self.check[at] == check)
+        return known, at[known]
+
+    def shrink(self, at: np.ndarray) -> None:
+        """Keep the words that were met again since they came, or only those at `at` where that is too many."""
+        keep = self.again > 0
+        if keep.sum() > self.most // 2:
+            keep = np.zeros(len(self.key), bool)
+            keep[at] = True
+        start, size = self.start[keep], self.size[keep].astype(np.int64)
+        ends = np.cumsum(size)
+        pool = self.pool[np.repeat(start - ends + size, size) + np.arange(size.sum())]
+        self.key, self.check, self.size = self.key[keep], self.check[keep], self.size[keep]
+        self.start, self.again = ends - size, np.zeros(len(size), np.uint8)
+        self.pool = np.zeros(max(1 << 16, 2 * len(pool)), np.uint32)
+        self.pool[: len(pool)] = pool
+        self.used = len(pool)
+
     def places(self, key: np.ndarray, check: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
         """Starts and sizes in the pool of distinct words in key order; word(k) gives the k-th as text."""
-        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        known = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        known, at = self.find(key, check)
+        self.again[at] = 1
         new = np.flatnonzero(~known)
+        if len(new) and len(self.key) + len(new) > self.most:
+            self.shrink(at)
+            known, at = self.find(key, check)
+            new = np.flatnonzero(~known)
         start, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        start[known], size[known] = self.start[at], self.size[at]
         if len(new):
             flat, n = self.fresh([word(k) for k in new.tolist()])
-            if len(self.key) + len(new) > self.most:
-                hit = np.repeat(start[known] - np.cumsum(size[known]) + size[known], size[known]) + np.arange(size[known].sum())
-                kept = self.pool[hit]  # what this chunk uses stays
-                self.clear()
-                while len(kept) > len(self.pool):
-                    self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-                self.pool[: len(kept)] = kept
-                self.used = len(kept)
-                start[known] = np.cumsum(size[known]) - size[known]
-                self.key, self.check, self.start, self.size = key[known], check[known], start[known], size[known].astype(np.int32)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
             self.pool[self.used : self.used + len(flat)] = flat
@@ -104,27 +147,42 @@ class WordCache:
             where = np.searchsorted(self.key, key[new])
             self.key, self.check = np.insert(self.key, where, key[new]), np.insert(self.check, where, check[new])
             self.start, self.size = np.insert(self.start, where, start[new]), np.insert(self.size, where, n.astype(np.int32))
+            self.again = np.insert(self.again, where, np.uint8(0))
         return start, size
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, each followed by end_id, and their offsets."""
-        w = K.Words(buf, off)
-        key, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        s, e = w.start[first], w.end[first]
+        data = buf.tobytes()
+        w = K.Words(buf, off, hashes=False)
+        start, end = segments(w)
+        # special tokens are spelt in lower case: where one may stand, case counts
+        total = K.prefix(buf, K.BYTE_VALUE if b"<|" in data else K.BYTE_VALUE_LOWER)
+        key, first, inverse = np.unique(K.span_hash(total, start, end), return_index=True, return_inverse=True)
+        s, e = start[first], end[first]
         check = (e - s).astype(np.uint64)
         for j in range(4):
-            check = check << np.uint64(8) | np.where(s + j < e, buf[np.minimum(s + j, max(len(buf) - 1, 0))], 0).astype(np.uint64) if len(s) else check
-        data = buf.tobytes()
+            check = check << np.uint64(8) | np.where(s + j < e, buf[np.minimum(s + j, max(len(buf) - 1, 0))] | 32, 0).astype(np.uint64) if len(s) else check
         begin, size = self.places(key, check, lambda k: data[s[k] : e[k]].decode("utf-8", "replace"))
         begin, size = begin[inverse], size[inverse]
-        total = np.r_[0, np.cumsum(size)]
+        total = np.r_[0, np.cumsum(size)].astype(np.int64)
         flat = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
-        at = total[w.first]
+        at = total[np.searchsorted(start, off)]
         if end_id is None:
             return flat, at
         return np.insert(flat, at[1:], np.uint32(end_id)), at + np.arange(len(at))
 
 
+_caches: dict[str, WordCache] = {}
+
+
+def cached(path: str) -> WordCache:
+    """The worker's cache for one tokenizer: it outlives tasks, some 50 MB at most."""
+    if path not in _caches:
+        _caches.clear()
+        _caches[path] = WordCache(path)
+    return _caches[path]
+
+
 def fill(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """Combinations [(length, how many), ...], each with the number of bins that get it.
 
@@ -191,7 +249,7 @@ class Places:
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = WordCache(path), TaskContext.get().partitionId()
+        cache, part = cached(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             for i, j, buf, off in K.chunks(b.column(1), 2 * K.CHUNK_BYTES):
@@ -242,6 +300,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     places = Places(fill(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("before") + F.col("k"))
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("k"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     return ranked.mapInArrow(_placed(places, names), f"doc_id long, piece int, start long, length long, ids_crc32 long{extra}, sequence_id long, offset long")

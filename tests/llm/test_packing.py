@@ -83,7 +83,7 @@ def test_whole_table(spark):
 def test_edges(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     r = random.Random(1)
-    odd = ["<|endoftext|> a<|startoftext|>b", "á ́b", " x y \u0085z", "ΑΣ ΣΑΣ İstanbul ǅ", "it's we'll 'S", "x" * 5000, "1234 5 " * 3000, "\x1c a\x0bb\x0cc", " \n\t "]
+    odd = ["<|endoftext|> a<|startoftext|>b", "á ́b", " x y \u0085z", "ΑΣ ΣΑΣ İstanbul ǅ", "it's we'll 'S", "x" * 5000, "1234 5 " * 3000, "\x1c a\x0bb\x0cc", " \n\t ", "<|ENDOFTEXT|> The<|endoftext|>.", "The the THE. the, ThE***", "é. ×. É!! ÷, 9. ,.", "don't. X's! '. a'."]
     chars = "aZ9 \t\n'.é́ ß中👍‍퟿#"
     odd += ["".join(r.choice(chars) for _ in range(80)) for _ in range(150)]
     rows = [*enumerate(odd), (1000, None), (1001, ""), (1001, ""), (5, odd[5])]
