@@ -24,4 +24,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark.sparkContext
+    made._stratum_saved = [*getattr(made, "_stratum_saved", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this session has saved so far, and say how many: results that still read them must have been consumed."""
+    sc = spark.sparkContext
+    paths = getattr(sc, "_stratum_saved", [])
+    sc._stratum_saved = []
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
