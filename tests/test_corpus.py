@@ -1,0 +1,169 @@
+"""Scripts of the column language over fixtures of five families, against numpy.
+
+The families are: small tables and aggregates, batches, indexes, joins and data
+changes; numbers in the names of tests are those of the survey's list of cases. Sizes are small; the shapes of the data (negative
+keys, heavy hitters, skewed and unique join keys, values near the largest integer) are kept.
+"""
+
+import numpy as np
+import pytest
+
+from stratum.plans.session import Session
+
+from .test_session import run, table, text
+
+N = 600
+
+
+def zipf(r, n, values=1000):
+    w = np.cumsum(1 / np.arange(1, values + 1))
+    return 1 + np.searchsorted(w / w[-1], r.random(n))
+
+
+@pytest.fixture(scope="module")
+def fixtures():
+    r = np.random.default_rng(42)
+    c1 = r.integers(-N // 2, N // 2, N)
+    ctrl2 = r.integers(0, N // 5, N)
+    ctrl2[r.random(N) < 0.05], ctrl2[r.random(N) < 0.02] = 7, 11
+    b1, k1 = r.integers(0, 1000, N), r.integers(0, 1000, N)
+    return {
+        "tbl1": [np.arange(1000), r.permutation(np.arange(10, 1010))],
+        "tbl2": [c1, r.integers(-N // 2, N // 2, N) + c1, r.integers(0, 100, N), r.integers(2**31 - 10000, 2**31, N)],
+        "tbl3": [b1, r.integers(0, N // 5, N), r.integers(0, N // 5, N), r.integers(0, 10000, N) + b1],
+        "tbl4": [k1, ctrl2, r.integers(0, N // 5, N), r.integers(0, 10000, N) + k1],
+        "fact": [zipf(r, N), r.integers(0, N // 5, N), np.ones(N, int), r.integers(1, 300, N)],
+        "dim1": [zipf(r, 300), r.integers(1, 300, 300), r.integers(0, 60, 300)],
+        "dim2": [np.arange(1, 301), r.integers(0, 60, 300)],
+        "sel1": [r.integers(0, N // 5, N), r.integers(0, N // 5, N)],
+        "sel2": [r.integers(0, N // 5, N), r.integers(0, N // 5, N)],
+        "tbl5": [r.integers(0, 1000, N), r.integers(0, 1000, N), r.integers(0, 10000, N), r.integers(0, 10000, N)],
+    }
+
+
+@pytest.fixture
+def db(spark, tmp_path, fixtures):
+    def make(*names, indexes=()):
+        s = Session(spark, str(tmp_path / "db"))
+        s.run('create(db,"db1")')
+        for n in names:
+            table(s, n, fixtures[n], tmp_path / f"{n}.csv", indexes)
+        return s
+
+    return make
+
+
+def reopen(spark, s):
+    run(s, ["shutdown"])
+    return Session(spark, str(s.catalog.root))
+
+
+def test_01_to_04_load_select_insert(spark, db, fixtures):
+    s = reopen(spark, db("tbl1", "tbl2"))
+    c1, c2 = fixtures["tbl1"]
+    d1, d2, d3, d4 = fixtures["tbl2"]
+    assert run(s, ["s1=select(db1.tbl1.col1,null,20)", "f1=fetch(db1.tbl1.col2,s1)", "print(f1)"]) == text(c2[:20])
+    m = (d1 >= 10) & (d1 < 60)
+    assert run(s, ["s1=select(db1.tbl2.col1,10,60)", "f1=fetch(db1.tbl2.col3,s1)", "a1=avg(f1)", "print(a1)"]) == [f"{d3[m].mean():.2f}"]
+    rows = [(-i, -11 * i, -111 * i, -1111 * i) for i in range(1, 11)]
+    run(s, [f"relational_insert(db1.tbl2,{','.join(map(str, x))})" for x in rows])
+    s = reopen(spark, s)
+    assert run(s, ["a=sum(db1.tbl2.col4)", "print(a)"]) == [str(d4.sum() + sum(x[3] for x in rows))]
+
+
+def test_05_to_09_sums_arithmetic_extremes(db, fixtures):
+    s = db("tbl2")
+    d1, d2, d3, d4 = fixtures["tbl2"]
+    m = (d1 >= -100) & (d1 < 150)
+    b = m & (d2 >= -50) & (d2 < 200)
+    got = run(s, [
+        "s1=select(db1.tbl2.col1,-100,150)", "f2=fetch(db1.tbl2.col2,s1)", "f3=fetch(db1.tbl2.col3,s1)", "a=sum(f3)", "w=sum(db1.tbl2.col1)", "print(a)", "print(w)",
+        "x=add(f2,f3)", "y=sub(f3,f2)", "print(x)", "print(y)", "mn=min(f2)", "mx=max(f2)", "wn=min(db1.tbl2.col4)", "wx=max(db1.tbl2.col4)", "print(mn,mx)", "print(wn,wx)",
+        "s2=select(s1,f2,-50,200)", "g2=fetch(db1.tbl2.col2,s2)", "g3=fetch(db1.tbl2.col3,s2)", "z=add(g2,g3)", "u=sub(g2,g3)", "r1=min(z)", "r2=max(u)", "r3=avg(z)", "r4=sum(u)", "print(r1,r2,r3,r4)",
+    ])
+    z, u = (d2 + d3)[b], (d2 - d3)[b]
+    assert got == [str(d3[m].sum()), str(d1.sum()), *text((d2 + d3)[m]), *text((d3 - d2)[m]), f"{d2[m].min()},{d2[m].max()}", f"{d4.min()},{d4.max()}", f"{z.min()},{u.max()},{z.mean():.2f},{u.sum()}"]
+
+
+BATCHES = [[(0, 200), (500, 800)], [(0, 400), (300, 700)], [(100, 900), (200, 300)], [(i * 30, i * 30 + 100) for i in range(10)], [(0, 1000 - i * 40) for i in range(10)], [(i * 9, i * 9 + 50) for i in range(100)]]
+
+
+@pytest.mark.parametrize("single", [False, True])
+@pytest.mark.parametrize("case", range(len(BATCHES)))
+def test_10_to_19_batches(db, fixtures, case, single):
+    s, bounds = db("tbl3"), BATCHES[case]
+    c1, _, _, c4 = fixtures["tbl3"]
+    selects = [f"s{i}=select(db1.tbl3.col1,{a},{b})" for i, (a, b) in enumerate(bounds)]
+    tail = [x for i in range(len(bounds)) for x in (f"f{i}=fetch(db1.tbl3.col4,s{i})", f"a{i}=sum(f{i})", f"print(a{i})")]
+    want = [str(c4[(c1 >= a) & (c1 < b)].sum()) for a, b in bounds]
+    core = ["single_core()"] if single else []
+    assert run(s, [*core, "batch_queries()", *selects, "batch_execute()", *tail]) == want
+    if len(bounds) == 2:
+        assert run(s, [*selects, *tail]) == want
+
+
+LAYOUTS = {"none": [], "sorted": ["col3,sorted,clustered", "col2,btree,unclustered"], "btree": ["col3,btree,clustered", "col2,sorted,unclustered"]}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_20_to_44_indexes(spark, db, fixtures, layout):
+    s = db("tbl4", indexes=LAYOUTS[layout])
+    c1, c2, c3, c4 = fixtures["tbl4"]
+    s = reopen(spark, s)
+    lines, want = [], []
+    r = np.random.default_rng(7)
+    for col, c in (("col3", c3), ("col2", c2)):
+        for width in (1, 3):
+            for x in r.integers(0, N // 5, 6):
+                lines += [f"s=select(db1.tbl4.{col},{x},{x + width})", "f=fetch(db1.tbl4.col1,s)", "a=sum(f)", "b=avg(f)", "print(a,b)"]
+                m = (c >= x) & (c < x + width)
+                want.append(f"{c1[m].sum()},{c1[m].mean() if m.any() else 0:.2f}")
+    for x in (7, 11):  # frequent values
+        lines += [f"s=select(db1.tbl4.col2,{x},{x + 1})", "f=fetch(db1.tbl4.col4,s)", "a=sum(f)", "print(a)"]
+        want.append(str(c4[c2 == x].sum()))
+    lines += ["s=select(db1.tbl4.col3,10,60)", "f=fetch(db1.tbl4.col1,s)", "t=select(s,f,100,700)", "g=fetch(db1.tbl4.col4,t)", "a=sum(g)", "print(a)"]
+    want.append(str(c4[(c3 >= 10) & (c3 < 60) & (c1 >= 100) & (c1 < 700)].sum()))
+    assert run(s, lines) == want
+
+
+@pytest.mark.parametrize("algorithm", ["nested-loop", "naive-hash", "grace-hash", "hash"])
+@pytest.mark.parametrize("share", [0.15, 0.8])
+def test_45_to_59_joins(db, fixtures, algorithm, share):
+    s = db("fact", "dim1", "dim2", "sel1", "sel2")
+    f, d1, d2, a, b = (fixtures[n] for n in ("fact", "dim1", "dim2", "sel1", "sel2"))
+    fm, m1, m2 = f[1] < N // 5 * share, d1[2] < 60 * share, d2[1] < 60 * share
+    am, bm = a[0] < N // 5 * share, b[0] < N // 5 * share
+    run(s, [f"p=select(db1.fact.col2,null,{int(np.ceil(N // 5 * share))})", f"q=select(db1.dim2.col2,null,{int(np.ceil(60 * share))})", f"o=select(db1.dim1.col3,null,{int(np.ceil(60 * share))})"])
+    got = run(s, ["k=fetch(db1.fact.col4,p)", "l=fetch(db1.dim2.col1,q)", f"t1,t2=join(k,p,l,q,{algorithm})", "x=fetch(db1.fact.col2,t1)", "y=fetch(db1.dim2.col2,t2)", "u=sum(x)", "v=avg(y)", "print(u,v)"])
+    pairs = [(i, j) for i in np.flatnonzero(fm) for j in np.flatnonzero(m2) if f[3][i] == d2[0][j]]
+    assert got == [f"{sum(int(f[1][i]) for i, _ in pairs)},{np.mean([d2[1][j] for _, j in pairs]):.2f}"]
+    got = run(s, ["k=fetch(db1.fact.col1,p)", "l=fetch(db1.dim1.col1,o)", f"t1,t2=join(k,p,l,o,{algorithm})", "x=fetch(db1.fact.col2,t1)", "y=fetch(db1.dim1.col2,t2)", "u=sum(x)", "v=avg(y)", "print(u,v)"])
+    pairs = [(i, j) for i in np.flatnonzero(fm) for j in np.flatnonzero(m1) if f[0][i] == d1[0][j]]
+    assert got == [f"{sum(int(f[1][i]) for i, _ in pairs)},{np.mean([d1[1][j] for _, j in pairs]):.2f}"]
+    bound = int(np.ceil(N // 5 * share))
+    got = run(s, [f"p=select(db1.sel1.col1,null,{bound})", f"q=select(db1.sel2.col1,null,{bound})", "k=fetch(db1.sel1.col2,p)", "l=fetch(db1.sel2.col2,q)", f"t1,t2=join(k,p,l,q,{algorithm})", "x=fetch(db1.sel1.col1,t1)", "u=sum(x)", "print(u)"])
+    counts = np.bincount(b[1][bm], minlength=N)
+    assert got == [str(int((a[0][am] * counts[a[1][am]]).sum()))]
+
+
+def test_60_to_65_changes(spark, db, fixtures):
+    s = db("tbl5", indexes=["col3,sorted,clustered", "col2,btree,unclustered"])
+    model = [tuple(int(x) for x in row) for row in zip(*fixtures["tbl5"], strict=True)]
+    rows = [(-1, -11, -111, -1111), (-2, -22, -222, -2222), (-3, -33, -333, -2222), (-4, -44, -444, -2222), (-5, -55, -555, -2222)]
+    run(s, [f"relational_insert(db1.tbl5,{','.join(map(str, x))})" for x in rows])
+    model += rows
+    ask = ["s=select(db1.tbl5.col2,-100,200)", "f=fetch(db1.tbl5.col1,s)", "a=sum(f)", "n=sum(db1.tbl5.col3)", "print(a)", "print(n)"]
+    check = lambda: [str(sum(x[0] for x in model if -100 <= x[1] < 200)), str(sum(x[2] for x in model))]
+    s = reopen(spark, s)
+    assert run(s, ask) == check()
+    for col, lo, hi, target, value in [(1, 0, 10, 0, -10), (0, -10, 0, 0, -20), (2, 5000, 6000, 1, 55), (1, 55, 56, 2, 1), (3, 0, 500, 3, 9)]:
+        run(s, [f"u=select(db1.tbl5.col{col + 1},{lo},{hi})", f"relational_update(db1.tbl5.col{target + 1},u,{value})"])
+        model = [x[:target] + (value,) + x[target + 1 :] if lo <= x[col] < hi else x for x in model]
+    s = reopen(spark, s)
+    assert run(s, ask) == check()
+    for col, lo, hi in [(0, -20, 0), (1, 100, 150), (2, 0, 200)]:
+        run(s, [f"d=select(db1.tbl5.col{col + 1},{lo},{hi})", "relational_delete(db1.tbl5,d)"])
+        model = [x for x in model if not lo <= x[col] < hi]
+    assert run(s, ask) == check()
+    got = run(s, ["print(db1.tbl5.col1,db1.tbl5.col2,db1.tbl5.col3,db1.tbl5.col4)"])
+    assert sorted(got) == sorted(",".join(map(str, x)) for x in model)
