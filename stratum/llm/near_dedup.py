@@ -8,7 +8,8 @@
    Every way of leaving out that many symbols of a chunk is a key, so all pairs
    under that distance share a key.
 3. Within a key, signatures are compared (breadth first, so a tight group costs
-   little more than its size); pairs up to `loose` differing symbols join the
+   little more than its size; keys beyond one piece first with their leader, then
+   what is left in blocks); pairs up to `loose` differing symbols join the
    classes into coarse components. These hold every link, and nothing is emitted
    but a spanning forest.
 4. Within a coarse component, links are confirmed on the full sets: first each
@@ -28,7 +29,7 @@ give empty results; extra columns are not read.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -48,6 +49,8 @@ class Plan:
 
     bucket, block: most members compared in one piece; larger groups are handled
     in pairs of such pieces.
+    hot_sample, hot_least: keys with so many members among one in hot_sample nodes
+    are never gathered by key (see split_hot); the results are the same either way.
     """
 
     width: int = 5
@@ -58,6 +61,8 @@ class Plan:
     loose: int = 25
     bucket: int = 8192
     block: int = 128
+    hot_sample: int = 1024
+    hot_least: int = 8
 
     @property
     def symbols(self) -> int:
@@ -279,6 +284,69 @@ def _confirm(plan: Plan):
     return run
 
 
+def split_hot(nodes: DataFrame, keyed: Callable[[DataFrame], DataFrame], sample: int, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node) rows of ordinary keys, and of keys that a sample of nodes shows to be hot (None: no key is).
+
+    The sample only routes: hot keys are worked on without a gathering by key, all others
+    are gathered, and either way gives the same links.
+    """
+    some = keyed(nodes.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0))
+    hot = saved(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "hot")
+    found, rows = hot.count(), keyed(nodes)
+    if not found:
+        return rows, None
+    if found <= 1_000_000:  # 8 MB
+        hot = F.broadcast(hot)
+    return rows.join(hot, "key", "left_anti"), rows.join(hot, "key", "left_semi")
+
+
+def in_pieces(members: DataFrame, marks: DataFrame, group: str, block: int) -> DataFrame:
+    """Members of the groups with work left, placed in pieces (group, x, y) of at most about two blocks.
+
+    `marks` says of each member but the leader whether it is linked with the leader
+    (near). Pairs of linked members need no look, so pieces pair each block of open
+    members with every block: linear for a tight group, whatever its size.
+    """
+    counts = marks.groupBy(group).agg((F.count("*") + 1).alias("n"), F.count_if(~F.col("near")).alias("open")).where("n > 2 and open > 0")
+    counts = saved(counts, "counts")  # Spark splits large groups only in a join of two exchanges
+    rest = marks.where("not near").select(group, "node", F.lit(True).alias("is_open")).distinct()
+    # by member first: the join by group is then the last one, which Spark may split where a group is large
+    placed = members.join(rest.hint("merge"), [group, "node"], "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+    placed = placed.join(counts.hint("merge"), group)
+    placed = placed.withColumns({"no": F.ceil(F.col("open") / block).cast("int"), "nc": F.ceil((F.col("n") - F.col("open")) / block).cast("int")})
+    spot = F.pmod(F.xxhash64("node"), F.when(F.col("is_open"), F.col("no")).otherwise(F.col("nc"))).cast("int")
+    placed = placed.withColumn("mine", F.when(F.col("is_open"), spot).otherwise(spot + F.col("no")))
+    # a piece is (open block x, any block y) with x <= y; open members are in all pieces of their block
+    opened = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("x"), F.greatest(x, F.col("mine")).alias("y")))
+    linked_ = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda y: F.struct(F.col("mine").alias("x"), (y + F.col("no")).alias("y")))
+    keep = [c for c in members.columns if c != group]
+    # dealt by piece: the partitioning by group would do for Spark, and put all pieces of a group into one task
+    return placed.withColumn("p", F.explode(F.when(F.col("is_open"), F.concat(opened, linked_)).otherwise(opened))).select(group, "p.x", "p.y", *keep).repartition(group, "x", "y")
+
+
+def _beside_leader(plan: Plan):
+    """Adds whether a signature is within the loose distance of the leader's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = (_matrix(b.column(2), plan.symbols) != _matrix(b.column(3), plan.symbols)).sum(axis=1) <= plan.loose if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["key", "node", "near"])
+
+    return run
+
+
+def _hot_keys(many: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
+    """Coarse links within keys of more members than one piece holds."""
+    members = many.join(sigs, "node").select("key", "node", "sig")
+    members = saved(members, "hot")
+    leader = saved(members.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("lead")), "leaders")
+    others = members.join(leader.hint("merge"), "key").where("node <> lead.node")
+    marks = saved(others.select("key", "node", "sig", F.col("lead.sig").alias("lead")).mapInArrow(_beside_leader(plan), "key long, node long, near boolean"), "hot")
+    star = marks.where("near").join(leader.select("key", "lead.node").withColumnRenamed("node", "b").hint("merge"), "key").select(F.col("node").alias("a"), "b")
+    lists = in_pieces(members, marks, "key", plan.bucket).groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "sig")).alias("members"))
+    return star.union(lists.select("members").mapInArrow(_coarse(plan), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the group of linked documents) and kept, for every row."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -286,18 +354,20 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     known = sketch.where("doc_id is not null and n_shingles > 0")
     classes = saved(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
 
-    rows = classes.select("node", "sig").mapInArrow(_keyed(plan), "key long, node long")
+    keyed = lambda df: df.select("node", "sig").mapInArrow(_keyed(plan), "key long, node long")
+    rows, hot = split_hot(classes, keyed, plan.hot_sample, plan.hot_least)
     lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(plan.bucket), "key long, part int, nodes array<long>")
     lists = saved(lists, "buckets")
-    large = lists.where("part > 0").select("key").distinct()  # keys beyond one piece: all pairs of their pieces
-    first = lists.join(large, "key", "left_anti").select("nodes")
-    pieces = lists.join(large, "key", "left_semi")
-    other = pieces.select("key", F.col("part").alias("with"), F.col("nodes").alias("more"))
-    second = pieces.join(other, "key").where("part < with").select(F.array_union("nodes", "more").alias("nodes"))
-    members = first.union(second).where("size(nodes) > 1").distinct().select(F.monotonically_increasing_id().alias("piece"), "nodes")
+    large = lists.where("part > 0").select("key").distinct()  # keys beyond one piece
+    small = lists.join(large, "key", "left_anti").select("nodes")
+    many = lists.join(large, "key", "left_semi").select("key", F.explode("nodes").alias("node"))
+    many = (many if hot is None else many.union(hot)).distinct()
+    hot = _hot_keys(many, classes.select("node", "sig"), plan)
+    members = small.where("size(nodes) > 1").distinct().select(F.monotonically_increasing_id().alias("piece"), "nodes")
     members = saved(members, "pieces").select("piece", F.explode("nodes").alias("node"))
     grouped = members.join(classes.select("node", "sig"), "node").groupBy("piece").agg(F.collect_list(F.struct("node", "sig")).alias("members"))
-    coarse = components(grouped.select("members").mapInArrow(_coarse(plan), "a long, b long"))
+    found = grouped.select("members").mapInArrow(_coarse(plan), "a long, b long")
+    coarse = components(found.union(hot))
 
     coarse = saved(coarse.select("node", F.col("component").alias("coarse")), "coarse")
     texts = src.join(coarse.hint("merge"), src["doc_id"] == coarse["node"]).select("node", "coarse", "text")
@@ -305,17 +375,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     least = sets.where("node = coarse").select("coarse", F.col("shingles").alias("lead"))
     star = sets.where("node <> coarse").join(least.hint("merge"), "coarse").select("node", "coarse", "shingles", "lead").mapInArrow(_starred(plan), "node long, coarse long, near boolean")
     star = saved(star, "star")
-    rest = star.where("not near").select("node", "coarse").distinct()
-    counts = star.groupBy("coarse").agg((F.countDistinct("node") + 1).alias("n"), F.count_if(~F.col("near")).alias("open")).where("n > 2 and open > 0")
-    # Blocks: those of the open members against each other and against all blocks.
-    isopen = sets.join(counts.select("coarse", "n", "open"), "coarse").join(rest.select("node", F.lit(True).alias("is_open")), "node", "left")
-    isopen = isopen.select("node", "coarse", "shingles", F.coalesce("is_open", F.lit(False)).alias("is_open"), F.ceil(F.col("open") / plan.block).cast("int").alias("no"), F.ceil((F.col("n") - F.col("open")) / plan.block).cast("int").alias("nc"))
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_open"), F.col("no")).otherwise(F.col("nc"))).cast("int")
-    placed = isopen.withColumn("mine", F.when(F.col("is_open"), mine).otherwise(mine + F.col("no")))
-    # A piece is (open block x, any block y) with x <= y; open members go to all pieces of their block.
-    to_x = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("x"), F.greatest(x, F.col("mine")).alias("y")))
-    as_x = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda y: F.struct(F.col("mine").alias("x"), (y + F.col("no")).alias("y")))
-    pieces = placed.withColumn("p", F.explode(F.when(F.col("is_open"), F.concat(to_x, as_x)).otherwise(to_x))).select("coarse", "p.x", "p.y", "node", "shingles")
+    marks = star.groupBy("coarse", "node").agg(F.max("near").alias("near"))
+    pieces = in_pieces(sets, marks, "coarse", plan.block)
     found = pieces.groupBy("coarse", "x", "y").applyInArrow(_confirm(plan), "a long, b long")
     links = star.where("near").select(F.col("node").alias("a"), F.col("coarse").alias("b")).union(found)
     final = components(links)

@@ -62,7 +62,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("plan", [Plan(width=4), Plan(width=4, bucket=40, block=16), Plan(width=4, bucket=7, block=5)])
+@pytest.mark.parametrize("plan", [Plan(width=4), Plan(width=4, bucket=40, block=16), Plan(width=4, bucket=7, block=5), Plan(width=4, hot_sample=3, hot_least=4)])
 def test_against_brute_force(spark, planted, plan):
     df = spark.createDataFrame(planted, "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, plan).collect()}
