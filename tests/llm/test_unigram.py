@@ -89,7 +89,7 @@ def test_random_texts_against_plain(plain):
 
 
 def test_no_worse_than_the_library_on_short_texts(proto):
-    """The library searches in 32-bit floats; where it differs, its total score is lower."""
+    """Where the library's segmentation differs (it is not known why), its total score is lower."""
     m = pb.ModelProto()
     m.CopyFrom(proto)
     m.trainer_spec.model_type = 1  # the same pieces, searched as a unigram model
