@@ -60,6 +60,7 @@ BAD_WORDS = frozenset(
     "nav navbar navigation menu submenu header masthead footer foot sidebar side aside rail ad ads advert advertisement adverts advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social comment comments disqus reply replies respond related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets copyright legal disclaimer toolbar skip search searchbox tags tagcloud teaser meta byline contentinfo complementary".split()
 )
 SURE_WORDS = BAD_WORDS - frozenset("header side meta byline alert search notice tags foot banner".split())
+STATE_WORDS = frozenset("has with no without not open closed category tag type format status".split())
 GOOD_WORDS = frozenset("article content contents post entry main story body text articlebody maincontent prose".split())
 
 
@@ -72,7 +73,6 @@ class Weights:
     good: float = 1.5
     sure: float = -9.0
     bad: float = -3.0
-    in_article_header: float = 1.5
     paragraph: float = 0.8
     heading: float = 0.2
     item: float = -0.6
@@ -91,42 +91,50 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("tag", "number", "mark", "article", "sure", "bad", "good")
+    __slots__ = ("tag", "number", "up", "sure", "hint", "bad", "good", "article", "heads", "paragraphs")
 
     def __init__(self, tag: str, number: int, up: _Element | None, attrs: str):
-        self.tag, self.number = tag, number
-        self.article = up is not None and up.article or tag == "article"
-        self.sure = up.sure if up else 0
-        self.bad = up.bad if up else 0
-        self.good = up.good if up else 0
-        if tag in BAD_TAGS:
-            self.sure = 1
-        elif tag == "header":
-            self.bad = 0 if self.article else 2
-        elif tag in ("main", "article"):
-            self.good = 1
-        if attrs and tag not in ("html", "body"):
-            words: set[str] = set()
-            for name, *values in _HINT.findall(attrs):
-                value = next((v for v in values if v), "")
-                name = name.lower()
-                if name in ("class", "id", "role", "itemprop"):
-                    words.update(w.lower() for w in _PART.findall(value))
-                elif (name == "hidden" and value.lower() != "false") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                    self.sure = 1
-            if words & GOOD_WORDS and not words & SURE_WORDS:
-                self.good = 1
-            elif words & SURE_WORDS:
-                self.sure = 1
-            elif words & BAD_WORDS:
-                self.bad = max(self.bad, 1)
+        self.tag, self.number, self.up = tag, number, up
+        self.article = (up is not None and up.article) or tag == "article"
+        self.sure = tag in BAD_TAGS
+        self.hint = tag == "form"  # a sure sign that is void on a wrapper of the whole page
+        self.bad = 2 if tag == "header" and not self.article else 0
+        self.good = tag in ("main", "article")
+        self.heads = self.paragraphs = 0
+        if not attrs or tag in ("html", "body"):
+            return
+        for name, *values in _HINT.findall(attrs):
+            value = next((v for v in values if v), "")
+            name = name.lower()
+            if name in ("class", "id", "role", "itemprop"):
+                for token in value.split():
+                    words = {w.lower() for w in _PART.findall(token)}
+                    if words & STATE_WORDS:
+                        continue
+                    if words & SURE_WORDS:
+                        self.sure = self.hint = True
+                    elif words & GOOD_WORDS:
+                        self.good = True
+                    elif words & BAD_WORDS:
+                        self.bad = max(self.bad, 1)
+            elif (name == "hidden" and value.lower() != "false") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                self.sure = True
+
+    def settle(self) -> None:
+        """Take over what holds for the parent, which must be settled."""
+        if self.sure and self.hint and (self.heads >= 4 or (self.heads and self.paragraphs >= 3)):
+            self.sure = False  # it wraps the article
+        if self.up is not None:
+            self.sure |= self.up.sure
+            self.bad = max(self.bad, self.up.bad if not self.article else 0)
+            self.good |= self.up.good
 
 
 def blocks(page: str, weights: Weights = Weights()) -> list[Block]:
     """Text blocks in page order."""
-    found: list[Block] = []
+    found: list[tuple[str, int, _Element]] = []
     root = _Element("#root", 0, None, "")
-    stack = [root]
+    stack, every = [root], [root]
     parts: list[str] = []
     linked = made = anchors = 0
 
@@ -135,7 +143,7 @@ def blocks(page: str, weights: Weights = Weights()) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(_scored(text, linked, stack, weights))
+                found.append((text, linked, stack[-1]))
             parts, linked = [], 0
 
     def text(raw: str) -> None:
@@ -181,14 +189,22 @@ def blocks(page: str, weights: Weights = Weights()) -> list[Block]:
         if tag not in VOID:
             made += 1
             stack.append(_Element(tag, made, stack[-1], attrs))
+            every.append(stack[-1])
+            if tag in ("article", "main", "h1", "p"):
+                for e in stack[:-1]:
+                    if tag == "p":
+                        e.paragraphs += 1
+                    else:
+                        e.heads += 1 if tag == "h1" else 4
     if at < len(page):
         text(page[at:])
     flush()
-    return found
+    for e in every:
+        e.settle()
+    return [_scored(text, linked, e, weights) for text, linked, e in found]
 
 
-def _scored(text: str, linked: int, stack: list[_Element], w: Weights) -> Block:
-    e = stack[-1]
+def _scored(text: str, linked: int, e: _Element, w: Weights) -> Block:
     n = text.count(" ") + 1
     s = w.bias + w.words * max(-2.0, (n.bit_length() - 3))
     s += w.links * min(1.0, linked / len(text))
@@ -208,8 +224,7 @@ def _scored(text: str, linked: int, stack: list[_Element], w: Weights) -> Block:
         s += w.sure
     elif e.bad:
         s += w.bad
-    parent = stack[-2].number if len(stack) > 1 else 0
-    return Block(text, s, parent)
+    return Block(text, s, e.up.number if e.up is not None else 0)
 
 
 def edges(found: list[Block], w: Weights) -> dict[tuple[int, int], float]:

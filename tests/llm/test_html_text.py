@@ -61,6 +61,18 @@ def test_parts_of_a_page():
     ]
 
 
+def test_wrappers_are_not_taken_for_their_parts():
+    text = "<p>One sentence of the story, long enough to be read.</p><p>Another one follows it, as they do.</p><p>And a third.</p>"
+    want = "One sentence of the story, long enough to be read.\n\nAnother one follows it, as they do.\n\nAnd a third."
+    for page in (
+        f'<body class="x"><div class="layout has-sidebar">{text}</div><div class="sidebar"><p>Not this one, of course.</p></div>',
+        f'<form id="aspnetForm"><h1>Title</h1>{text}</form>',
+        f'<div class="sidebar-right"><article class="post comments-open">{text}</article><div class="sidebar">Nor this.</div></div>',
+        f'<div id="content"><div class="entry">{text}</div><ol class="comment-list"><li><article class="comment"><p>I liked this story, it was long enough.</p></article></ol></div>',
+    ):
+        assert main_text(page).removeprefix("Title\n\n") == want, page
+
+
 def test_edges(spark):
     schema = "page_id long, url string, html string, text string"
     assert extract(spark.createDataFrame([], schema)).count() == 0
