@@ -10,7 +10,8 @@
 3. A class has `bands` MinHash values of its five-word shingles, each a band of
    its own: a pair of similarity 0.8 collides with probability 1 - 0.2 ** bands,
    0.992 for three. Colliding classes are verified by exact Jaccard on their
-   full shingle sets, in pieces of bounded size.
+   full shingle sets, in pieces of bounded size; keys beyond one piece are first
+   compared with their leader, which settles tight groups in linear time.
 4. Verified classes are clustered by connected components; of each cluster only
    the first occurrence (least document, then place) stays.
 5. A run of consecutive removed paragraphs is one span; spans of fewer than
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .near_dedup import _runs, linked, spread
+from .near_dedup import _runs, _starred, in_pieces, linked, split_hot, spread
 from .storage import saved
 
 _U = np.uint64
@@ -50,6 +51,8 @@ class Plan:
     reach: int = 6
     min_words: int = 20
     piece: int = 128
+    hot_sample: int = 1024
+    hot_least: int = 8
 
 
 _ENDS = np.zeros(256, bool)
@@ -220,6 +223,18 @@ def _verify(plan: Plan):
     return run
 
 
+def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Verified pairs within keys of more members than one piece holds: with the leader, then in blocks."""
+    members = saved(many.join(sets, "node").select("key", "node", "shingles"), "hot")
+    leader = saved(members.groupBy("key").agg(F.min(F.struct("node", "shingles")).alias("lead")), "leaders")
+    others = members.join(leader.hint("merge"), "key").where("node <> lead.node")
+    star = saved(others.select("node", F.col("key").alias("coarse"), "shingles", F.col("lead.shingles").alias("lead")).mapInArrow(_starred(plan), "node long, coarse long, near boolean").withColumnRenamed("coarse", "key"), "hot")
+    edges = star.where("near").join(leader.select("key", "lead.node").withColumnRenamed("node", "b").hint("merge"), "key").select(F.col("node").alias("a"), "b")
+    marks = star.groupBy("key", "node").agg(F.max("near").alias("near"))
+    lists = in_pieces(members, marks, "key", plan.piece).groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    return edges.union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
+
+
 def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans to remove: doc_id, start, end (code points, end exclusive), n_words, keep_doc_id (where the first paragraph of the span stays) and component_id."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -228,20 +243,22 @@ def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
     classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "unit")).alias("first"), *(F.first(k).alias(k) for k in bands))
     classes = saved(classes.select("f1", "f2", "n", "first.doc_id", "first.unit", *bands, F.monotonically_increasing_id().alias("node")), "paragraphs")
 
-    keyed = classes.select("node", F.explode(F.array(*bands)).alias("key")).select("key", "node")
+    by_band = lambda df: df.select("node", F.explode(F.array(*bands)).alias("key")).select("key", "node")
+    keyed, hot = split_hot(classes, by_band, plan.hot_sample, plan.hot_least)
     lists = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(plan.piece), "key long, part int, nodes array<long>"), "collisions")
-    large = lists.where("part > 0").select("key").distinct()
-    pieces = lists.join(large, "key", "left_semi")
-    other = pieces.select("key", F.col("part").alias("with"), F.col("nodes").alias("more"))
-    pairs = pieces.join(other, "key").where("part < with").select(F.array_union("nodes", "more").alias("nodes"))
-    groups = lists.join(large, "key", "left_anti").select("nodes").union(pairs).where("size(nodes) > 1").distinct()
+    large = lists.where("part > 0").select("key").distinct()  # keys beyond one piece
+    groups = lists.join(large, "key", "left_anti").select("nodes").where("size(nodes) > 1").distinct()
     members = saved(groups.select(F.monotonically_increasing_id().alias("piece"), "nodes"), "pieces").select("piece", F.explode("nodes").alias("node"))
+    many = lists.join(large, "key", "left_semi").select("key", F.explode("nodes").alias("node"))
+    many = (many if hot is None else many.union(hot)).distinct()
 
-    hit = saved(classes.select("node", "doc_id", "unit", "f1", "f2").join(members.select("node").distinct(), "node"), "collided")
+    hit = members.select("node").union(many.select("node")).distinct()
+    hit = saved(classes.select("node", "doc_id", "unit", "f1", "f2").join(hit, "node"), "collided")
     wanted = hit.groupBy("doc_id").agg(F.collect_list(F.struct("node", "unit")).alias("wanted"))
-    sets = src.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary")
+    sets = saved(src.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
     full = members.join(sets, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
-    same = components(full.select("members").mapInArrow(_verify(plan), "a long, b long"))
+    found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
+    same = components(found.union(_hot_keys(many, sets, plan)))
 
     near = hit.join(same, "node")
     exact = classes.where("n > 1").select("node", "doc_id", "unit", "f1", "f2").join(same.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from stratum.llm import kernels as K
 from stratum.llm.substring_dedup import Plan, cut, cuts, repeats
@@ -52,7 +53,8 @@ def test_cuts_against_plain(spark):
         assert alone == one[d]
 
 
-def test_planted_passages(spark):
+@pytest.mark.parametrize("piece", [128, 2])
+def test_planted_passages(spark, piece):
     r = random.Random(3)
     rows, at = [], {}
     passages = [prose(r, n) for n in (55, 70, 120, 200)]
@@ -66,7 +68,7 @@ def test_planted_passages(spark):
         if p:
             at[i] = (len(" ".join(w[:k])) + (k > 0), len(" ".join(w[:k] + p)), len(p))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    spans = repeats(df).collect()
+    spans = repeats(df, Plan(piece=piece)).collect()
     assert all(s.doc_id in at and s.keep_doc_id in at and s.keep_doc_id % 4 == s.doc_id % 4 for s in spans)
     found = {s.doc_id: 0 for s in spans}
     for s in spans:
@@ -94,7 +96,8 @@ def test_edges(spark):
     assert {x.text for x in done.where("doc_id is null").collect()} == {p}
 
 
-def test_near_copies_of_paragraphs_by_brute_force(spark):
+@pytest.mark.parametrize(("piece", "hot"), [(128, 8), (3, 8), (128, 1)])
+def test_near_copies_of_paragraphs_by_brute_force(spark, piece, hot):
     """Removed paragraphs are those of a brute-force comparison of all pairs, up to the stated recall."""
     r = random.Random(6)
     rows = []
@@ -103,7 +106,12 @@ def test_near_copies_of_paragraphs_by_brute_force(spark):
         x = list(w)
         x[r.randrange(60)] = "other"
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
-    plan = Plan(reach=15, min_words=1)
+    w = words(r, 60)
+    for i in range(200, 225):  # one large group
+        x = list(w)
+        x[r.randrange(60)] = f"other{i}"
+        rows.append((i, " ".join(x)))
+    plan = Plan(reach=15, min_words=1, piece=piece, hot_sample=2, hot_least=hot)
     units = []
     for d, t in rows:
         b = t.encode()
