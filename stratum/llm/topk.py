@@ -31,7 +31,7 @@ from . import kernels as K
 
 CANDIDATES = 1024
 QUERIES = 2048
-LANES = 64
+LEAST_LANES = 16
 
 
 def usable(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,18 +155,21 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", lanes: int = LANES, block: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", lanes: int | None = None, block: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k highest inner products among all other rows.
 
-    Components x count as floor(scale * x).
+    Components x count as floor(scale * x). `lanes`: tasks that share the pairs of
+    blocks (as many as the session's shuffle partitions, 16 at least).
     """
+    lanes = lanes or max(LEAST_LANES, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
     asked = pick(queries).groupBy("id").agg(F.min("vector").alias("vector"))
     many = max(1, -(-asked.count() // query_block))
     asked = asked.repartition(many, F.xxhash64("id")).select("id", "vector").mapInArrow(_blocks(scale, query_block), _BLOCK)
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), *(F.col(n).alias(f"q_{n}") for n in _NAMES))
     given = pick(vectors).mapInArrow(_blocks(scale, block), _BLOCK).select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), *_NAMES)
-    pairs = given.join(asked, "lane")
+    # dealt by number: the work is in the pairs, not in the bytes by which Spark would merge partitions
+    pairs = given.repartition(lanes, "lane").join(asked.repartition(lanes, "lane").hint("merge"), "lane")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
