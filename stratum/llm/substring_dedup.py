@@ -1,26 +1,31 @@
 """Removal of passages that repeat across documents, by paragraph MinHash banding.
 
-1. Every text is cut into paragraphs of 7 words or more (about 13) at places that
-   depend only on the six words to either side: line starts first, then sentence
-   starts, then any word, the least hash within reach deciding. A passage
-   therefore gets the same inner paragraphs wherever it stands, also in the
-   middle of another text's line.
-2. Equal paragraphs (A-Z lower-cased words) are one class, found by a
-   pre-aggregated grouping.
-3. A class has `bands` MinHash values of its five-word shingles, each a band of
+1. Paragraphs are the lines of the texts. Equal ones (A-Z lower-cased words) are
+   one class, found by a pre-aggregated grouping.
+2. A class has `bands` MinHash values of its five-word shingles, each a band of
    its own: a pair of similarity 0.8 collides with probability 1 - 0.2 ** bands,
    0.992 for three. Colliding classes are verified by exact Jaccard on their
    full shingle sets, in pieces of bounded size; keys beyond one piece are first
    compared with their leader, which settles tight groups in linear time.
-4. Verified classes are clustered by connected components; of each cluster only
+3. Verified classes are clustered by connected components; of each cluster only
    the first occurrence (least document, then place) stays.
-5. A run of consecutive removed paragraphs is one span; spans of fewer than
-   `min_words` words are left alone, so that a repeated phrase or stock sentence
-   does not damage a text.
-
-Defined results: null and empty texts have no paragraphs; rows without an id take
+4. For passages inside lines, 1 to 3 are done once more with smaller units in
+   what the paragraphs leave: every text is cut into pieces of 7 words or more
+   (about 13) at places that depend only on the six words to either side: line
+   starts first, then sentence starts, then any word, the least hash within reach
+   deciding. A passage therefore gets the same inner pieces wherever it stands,
+   also in the middle of another text's line. Pieces in removed paragraphs are
+   not counted, so that no passage goes for the sake of one that goes itself.
+5. A run of adjoining removed words is one span; spans of fewer than `min_words`
+   words are left alone, so that a repeated phrase or stock sentence does not
+   damage a text.
+
+`WHOLE`, the default, does all of this; a Plan without `paragraphs` only compares
+the pieces of step 4.
+
+Defined results: null and empty texts have no units; rows without an id take
 no part and stay as they are; rows that repeat an id are taken as one document (equal ones lose nothing to
-each other; where their texts differ, paragraphs of equal number are one place);
+each other; where their texts differ, units of equal number are one place);
 an empty table gives no spans; extra columns are not read and are kept by `cut`.
 A text shorter than five words has its whole word sequence as its only shingle.
 """
@@ -53,7 +58,10 @@ class Plan:
     piece: int = 128
     hot_sample: int = 1024
     hot_least: int = 8
+    paragraphs: bool = False
+
 
+WHOLE = Plan(paragraphs=True)
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -61,8 +69,28 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
+def line_starts(w: K.Words) -> np.ndarray:
+    """Which words have a line feed between them and the word before."""
+    feeds = np.zeros(len(w.buf) + 1, np.int32)
+    np.cumsum(w.buf == 10, out=feeds[1:])
+    line = np.zeros(len(w.start), bool)
+    line[1:] = feeds[w.start[1:]] != feeds[w.end[:-1]]
+    return line
+
+
+def lines(w: K.Words) -> np.ndarray:
+    """Word indices at which lines begin, each text's first word included."""
+    line = line_starts(w)
+    line[w.first[:-1][w.count > 0]] = True
+    return np.flatnonzero(line)
+
+
+def starts(w: K.Words, plan: Plan, whole: bool) -> np.ndarray:
+    return lines(w) if whole else cuts(w, plan.reach)
+
+
 def cuts(w: K.Words, reach: int) -> np.ndarray:
-    """Word indices at which paragraphs begin, each text's first word included."""
+    """Word indices at which pieces begin, each text's first word included."""
     n = len(w.start)
     if not n:
         return np.zeros(0, np.int64)
@@ -72,10 +100,7 @@ def cuts(w: K.Words, reach: int) -> np.ndarray:
     upper = _UPPER[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     after_end = np.zeros(n, bool)
     after_end[1:] = _ENDS[w.buf[w.end[:-1] - 1]]
-    feeds = np.zeros(len(w.buf) + 1, np.int32)
-    np.cumsum(w.buf == 10, out=feeds[1:])
-    line = np.zeros(n, bool)
-    line[1:] = feeds[w.start[1:]] != feeds[w.end[:-1]]
+    line = line_starts(w)
     rank = np.where(line, 0, np.where(after_end | upper, 1, 2)).astype(np.uint64)
     follow = np.r_[w.hash[1:], w.hash[:1]]
     follow[w.first[1:][w.count > 0] - 1] = 0  # a text's last word has none after it
@@ -139,8 +164,18 @@ def minima(h: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
     return out
 
 
-def _units(plan: Plan, place: bool):
-    """Paragraph rows: with place, where each stands; else its band keys."""
+def _kept(w: K.Words, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, skips: list) -> np.ndarray:
+    """Which units hold no word of their text's skipped ranges."""
+    gone = np.zeros(len(w.start) + 1, np.int64)
+    for d, skip in enumerate(skips):
+        for x in skip or ():
+            gone[w.first[d] + x["begin"] : min(w.first[d] + x["stop"], w.first[d + 1])] = 1
+    total = np.r_[0, np.cumsum(gone)]
+    return np.flatnonzero(total[end] == total[begin])
+
+
+def _units(plan: Plan, place: bool, whole: bool):
+    """Unit rows (lines if `whole`, else pieces): with place, where each stands; else its band keys."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,19 +183,24 @@ def _units(plan: Plan, place: bool):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, buf, off in K.chunks(b.column(1)):
                 w = K.Words(buf, off, lower=True)
-                begin = cuts(w, plan.reach)
+                begin = starts(w, plan, whole)
                 if not len(begin):
                     continue
                 end = np.r_[begin[1:], len(w.start)]
                 doc = np.searchsorted(w.first, begin, "right") - 1
                 number = np.arange(len(begin)) - np.searchsorted(doc, doc)
+                if b.num_columns > 2 and b.column(2).slice(i, j - i).null_count < j - i:
+                    stay = _kept(w, begin, end, doc, b.column(2).slice(i, j - i).to_pylist())
+                    if not len(stay):
+                        continue
+                    begin, end, doc, number = begin[stay], end[stay], doc[stay], number[stay]
                 f1, f2 = sequence(w, begin, end)
                 out = {"f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2), "doc_id": pa.array(ids[i:j][doc].astype(np.int64)), "unit": pa.array(number.astype(np.int32))}
                 if place:
                     points = np.zeros(len(buf) + 1, np.int64)
                     np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
                     base = points[off[doc]]
-                    out |= {"start": pa.array(points[w.start[begin]] - base), "end": pa.array(points[w.end[end - 1]] - base), "words": pa.array((end - begin).astype(np.int64))}
+                    out |= {"start": pa.array(points[w.start[begin]] - base), "end": pa.array(points[w.end[end - 1]] - base), "begin": pa.array((begin - w.first[doc]).astype(np.int64)), "stop": pa.array((end - w.first[doc]).astype(np.int64))}
                 else:
                     h, at = shingled(w, begin, end, plan.width)
                     out |= {f"k{n}": pa.array(k) for n, k in enumerate(minima(h, at, plan.bands))}
@@ -169,8 +209,8 @@ def _units(plan: Plan, place: bool):
     return run
 
 
-def _unit_sets(plan: Plan):
-    """(text, nodes, units) to the shingle sets of those paragraphs."""
+def _unit_sets(plan: Plan, whole: bool):
+    """(text, nodes, units) to the shingle sets of those units."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +218,7 @@ def _unit_sets(plan: Plan):
             wanted = b.column(1).to_pylist()
             for i, j, buf, off in K.chunks(b.column(0)):
                 w = K.Words(buf, off, lower=True)
-                begin = cuts(w, plan.reach)
+                begin = starts(w, plan, whole)
                 end = np.r_[begin[1:], len(w.start)]
                 lead = np.searchsorted(begin, w.first[:-1])
                 last = np.r_[lead[1:], len(begin)]
@@ -235,11 +275,11 @@ def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return edges.union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
 
 
-def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The spans to remove: doc_id, start, end (code points, end exclusive), n_words, keep_doc_id (where the first paragraph of the span stays) and component_id."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = None) -> DataFrame:
+    """The units to remove, where each stands and what stays; those that touch `skips` (doc_id, skip) are not counted."""
     bands = [f"k{n}" for n in range(plan.bands)]
-    rows = src.mapInArrow(_units(plan, False), "f1 long, f2 int, doc_id long, unit int, " + ", ".join(f"{k} long" for k in bands))
+    counted = src if skips is None else src.join(skips.hint("merge"), "doc_id", "left").select("doc_id", "text", "skip")
+    rows = counted.mapInArrow(_units(plan, False, whole), "f1 long, f2 int, doc_id long, unit int, " + ", ".join(f"{k} long" for k in bands))
     classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "unit")).alias("first"), *(F.first(k).alias(k) for k in bands))
     classes = saved(classes.select("f1", "f2", "n", "first.doc_id", "first.unit", *bands, F.monotonically_increasing_id().alias("node")), "paragraphs")
 
@@ -255,7 +295,7 @@ def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
     hit = members.select("node").union(many.select("node")).distinct()
     hit = saved(classes.select("node", "doc_id", "unit", "f1", "f2").join(hit, "node"), "collided")
     wanted = hit.groupBy("doc_id").agg(F.collect_list(F.struct("node", "unit")).alias("wanted"))
-    sets = saved(src.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
+    sets = saved(src.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_unit_sets(plan, whole), "node long, shingles binary"), "sets")
     full = members.join(sets, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
     same = components(found.union(_hot_keys(many, sets, plan)))
@@ -265,12 +305,32 @@ def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
     cluster = saved(exact.unionByName(near).dropDuplicates(["node"]), "clusters")
     keep = cluster.groupBy("component").agg(F.min(F.struct("doc_id", "unit")).alias("keep"))
     known = cluster.join(keep, "component").select("f1", "f2", "component", "keep")
-    placed = src.mapInArrow(_units(plan, True), "f1 long, f2 int, doc_id long, unit int, start long, end long, words long")
+    placed = src.mapInArrow(_units(plan, True, whole), "f1 long, f2 int, doc_id long, unit int, start long, end long, begin long, stop long")
     gone = placed.join(known, ["f1", "f2"]).where("not (doc_id = keep.doc_id and unit = keep.unit)")
-    gone = gone.groupBy("doc_id", "unit").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("keep").alias("keep"), F.min("component").alias("component"))
-    run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
-    spans = gone.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min(F.struct("unit", "keep", "component")).alias("lead"))
-    return spans.where(F.col("n_words") >= plan.min_words).select("doc_id", "start", "end", "n_words", F.col("lead.keep.doc_id").alias("keep_doc_id"), F.col("lead.component").alias("component_id"))
+    return gone.groupBy("doc_id", "unit").agg(*(F.min(c).alias(c) for c in ("start", "begin", "keep", "component")), *(F.max(c).alias(c) for c in ("end", "stop"))).select("doc_id", "start", "end", "begin", "stop", F.col("keep.doc_id").alias("keep"), "component")
+
+
+def _spans(gone: DataFrame, plan: Plan) -> DataFrame:
+    """Adjoining ranges of words as one, if they have `min_words` words."""
+    by_place = Window.partitionBy("doc_id").orderBy("begin", "stop", "keep", "component")
+    reached = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    opens = gone.withColumn("opens", F.when(F.col("begin") <= reached, 0).otherwise(1))
+    runs = opens.withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "run").agg(*(F.min(c).alias(c) for c in ("start", "begin")), *(F.max(c).alias(c) for c in ("end", "stop")), F.min(F.struct("begin", "stop", "keep", "component")).alias("lead"))
+    return spans.where(F.col("stop") - F.col("begin") >= plan.min_words).select("doc_id", "start", "end", "begin", "stop", "lead.keep", "lead.component")
+
+
+def repeats(docs: DataFrame, plan: Plan = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans to remove: doc_id, start, end (code points, end exclusive), n_words, keep_doc_id (where the first unit of the span stays) and component_id (negative: of paragraphs)."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    if plan.paragraphs:
+        first = _spans(_gone(src, plan, True).withColumn("component", -1 - F.col("component")), plan)
+        first = saved(first, "lines")
+        skips = first.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("skip"))
+        gone = _gone(src, plan, False, skips).union(first)
+    else:
+        gone = _gone(src, plan, False)
+    return _spans(gone, plan).select("doc_id", "start", "end", (F.col("stop") - F.col("begin")).alias("n_words"), F.col("keep").alias("keep_doc_id"), F.col("component").alias("component_id"))
 
 
 @K.tidied
@@ -288,7 +348,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[2:]], names=["__text", *b.schema.names[2:]])
 
 
-def cut(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, plan: Plan = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with repeated passages cut out of the texts (and n_chars, where there is one, made to fit)."""
     spans = repeats(docs, plan, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(spans, docs[id_col] == spans["__id"], "left")

@@ -127,3 +127,36 @@ def test_near_copies_of_paragraphs_by_brute_force(spark, piece, hot):
         got[s.doc_id] = got.get(s.doc_id, 0) + s.n_words
     assert all(got[d] <= want.get(d, 0) for d in got)
     assert sum(got.values()) >= 0.97 * sum(want.values()) and len(want) > 50
+
+
+def test_near_copies_of_whole_paragraphs(spark):
+    """Production settings: lines that are near copies go whole, edit and all, as a brute-force comparison of lines says."""
+    r = random.Random(7)
+    rows = []
+    for i in range(40):
+        w = words(r, 60)
+        x = list(w)
+        x[r.randrange(5, 55)] = "other"
+        rows += [(2 * i, "\n".join(" ".join(v) for v in (words(r, 30), w))), (2 * i + 1, "\n".join(" ".join(v) for v in (x, words(r, 30))))]
+    shingles = lambda v: {tuple(v[k : k + 5]) for k in range(len(v) - 4)}
+    units, want = [], {}
+    for d, t in rows:
+        for line in t.split("\n"):
+            s = shingles(line.split())
+            if any(100 * len(s & z) >= 80 * len(s | z) for z in units):
+                want[d] = (t.index(line), t.index(line) + len(line))
+            units.append(s)
+    assert set(want) == set(range(1, 80, 2))
+    got = {s.doc_id: (s.start, s.end) for s in repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[d][0] <= a and z <= want[d][1] for d, (a, z) in got.items())
+    assert sum(got[d] == want[d] for d in got) >= 0.95 * len(want), {d: (got.get(d), want[d]) for d in want if got.get(d) != want[d]}
+
+
+def test_a_passage_of_a_removed_paragraph_stays_elsewhere(spark):
+    """A near copy takes its edit with it; another document that has the edited passage must keep it."""
+    r = random.Random(8)
+    w, own = words(r, 400), words(r, 30)
+    x = [*w[:200], *own, *w[200:]]
+    rows = [(1, " ".join(w)), (2, " ".join(x)), (3, " ".join([*words(r, 40), *own, *words(r, 40)]))]
+    done = {d.doc_id: d.text for d in cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert done[1] == rows[0][1] and done[2] == "" and done[3] == rows[2][1]
