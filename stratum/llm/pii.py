@@ -2,18 +2,20 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns on each whole text.
 Information-theoretic sanitisation then adds terms. For an entity e (the value of
-a base span) and a term t within `reach` words of it, with document counts over
-the whole corpus,
+a base span) and a term t that stands within `reach` words of it, with counts of
+the documents that hold them, anywhere in the text, over the whole corpus,
 
     PMI(e; t) = log2(p(e, t) / (p(e) p(t))),   IC(e) = -log2 p(e),
 
 t discloses the share PMI / IC of what e tells. Terms that disclose `share` or
-more, seen with e in at least `support` different contexts, are added as spans
-of kind `term` where they stand near e, and are generalised in `sanitise`.
+more, seen near e in at least `support` different contexts, are added as spans
+of kind `term` wherever they stand outside of base spans, in every text of the
+corpus, and are generalised in `sanitise`.
 
 Term counts are summed inside each task before they are shuffled; pairs with an
 entity arise only near base spans, so they are linear in those. Nothing is gathered per
-entity: hot ones are pre-aggregated.
+entity: hot ones are pre-aggregated. Wanted terms are sent to the tasks in portions of
+at most `portion` (8 bytes each), one pass over the texts for each portion.
 
 Defined results: a null text is empty; every row has its own result, repeated
 rows and null ids included; an empty table gives an empty result; extra columns
@@ -55,6 +57,7 @@ class Limits:
     share: float = 0.8
     support: int = 3
     least_letters: int = 3
+    portion: int = 1_000_000
 
 
 def luhn(digits: str) -> bool:
@@ -144,38 +147,101 @@ def contexts(text: str, spans: list[tuple[int, int, int]], limits: Limits) -> li
     return out
 
 
-BASE = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<e:long,t:long,c:long,s:long,z:long>>"
+_HINT = np.zeros(256, bool)
+_HINT[list(b"@0123456789")] = True
 _NEAR = pa.list_(pa.struct([(k, pa.int64()) for k in "etcsz"]))
 
 
-def _base(limits: Limits):
-    empty = hashlib.sha256(b"").hexdigest()
-    hint = np.zeros(256, bool)
-    hint[list(b"@0123456789")] = True
+def _with_spans(arr: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(row, text, base spans) of the texts that have some."""
+    for i, _, buf, off in K.chunks(arr):
+        for d in np.flatnonzero(K.per_doc(_HINT[buf], off)):
+            t = buf[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")
+            if spans := base_spans(t):
+                yield i + int(d), t, spans
+
+
+def _near(limits: Limits):
+    """rid, the entities of each text and the terms near them."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
             n = b.num_rows
-            counts = np.zeros((4, n), np.int64)
-            sha, text, near = [empty] * n, [""] * n, [None] * n
-            for i, j, buf, off in K.chunks(b.column(1)):
-                for d in np.flatnonzero(K.per_doc(hint[buf], off)):
-                    t = buf[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")
-                    spans = base_spans(t)
-                    if spans:
-                        for _, k, _ in spans:
-                            counts[k, i + d] += 1
-                        text[i + d] = joined(spans)
-                        sha[i + d] = hashlib.sha256(text[i + d].encode()).hexdigest()
-                        near[i + d] = contexts(t, spans, limits) or None
-            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(n)), b.column(0), *(pa.array(c) for c in counts), pa.array(sha), pa.array(text), pa.array(near, _NEAR)], names=["rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            who, near = [None] * n, [None] * n
+            for i, t, spans in _with_spans(b.column(0)):
+                who[i] = list({entity(k, t[a:z]) for a, k, z in spans})
+                near[i] = contexts(t, spans, limits) or None
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(n)), pa.array(who, pa.list_(pa.int64())), pa.array(near, _NEAR)], names=["rid", "who", "near"])
             rid += n
 
     return run
 
 
+def _places(wanted: np.ndarray, arr: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, text, base spans, terms, starts, ends) of the texts with wanted terms outside of base spans."""
+    for i, _, buf, off in K.chunks(arr):
+        w, s, e, h = terms(buf, off)
+        hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+        if not len(hit):
+            continue
+        points = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+        doc = w.doc()[hit]
+        for d in np.unique(doc):
+            mine = hit[doc == d]
+            t = buf[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")
+            spans = base_spans(t)
+            a, z = points[s[mine]] - points[off[d]], points[e[mine]] - points[off[d]]
+            free = np.ones(len(mine), bool)
+            for x, _, y in spans:
+                free &= (z <= x) | (a >= y)
+            if free.any():
+                yield i + int(d), t, spans, h[mine][free], a[free], z[free]
+
+
+def _together(wanted: np.ndarray):
+    """(e, t) once for each text with the entity and the wanted term."""
+
+    @K.tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, t, spans, h, _, _ in _places(wanted, b.column(0)):
+                h = np.unique(h)
+                for who in {entity(k, t[a:z]) for a, k, z in spans}:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), who)), pa.array(h)], names=["e", "t"])
+
+    return run
+
+
+def _marked(wanted: np.ndarray):
+    """(text, extra, ...) with the places of wanted terms added to extra."""
+
+    @K.tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            extra = b.column(1).to_pylist()
+            for i, _, _, _, a, z in _places(wanted, b.column(0)):
+                extra[i] = [*(extra[i] or ()), *({"s": int(x), "z": int(y)} for x, y in zip(a, z, strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(extra, _PLACES), *b.columns[2:]], names=b.schema.names)
+
+    return run
+
+
+_PLACES = pa.list_(pa.struct([("s", pa.int64()), ("z", pa.int64())]))
+_EXTRA = "array<struct<s:long,z:long>>"
+
+
+def _portions(wanted: DataFrame, most: int) -> Iterator[np.ndarray]:
+    """The distinct terms, sorted, in portions of about `most`."""
+    parts = -(-wanted.count() // most)
+    for k in range(parts):
+        some = wanted.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).select("t").toArrow().column(0)
+        if len(some):
+            yield np.unique(some.to_numpy())
+
+
 def _term_counts(most: int = 1_000_000):
     """Documents per term, summed within the task (in portions of bounded size)."""
 
@@ -217,50 +283,69 @@ def _term_counts(most: int = 1_000_000):
     return run
 
 
-def disclosing(src: DataFrame, base: DataFrame, limits: Limits) -> DataFrame:
+def disclosing(src: DataFrame, limits: Limits) -> DataFrame:
     """(e, t): the pairs whose term discloses too much."""
-    near = base.where("near is not null").select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.c")
-    pairs = near.groupBy("e", "t").agg(F.countDistinct("rid").alias("both"), F.countDistinct("c").alias("contexts"))
-    pairs = pairs.where(F.col("contexts") >= limits.support)
-    has = near.select("e", "rid").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    base = saved(src.select("text").mapInArrow(_near(limits), "rid long, who array<long>, near array<struct<e:long,t:long,c:long,s:long,z:long>>"), "personal")
+    near = base.where("near is not null").select(F.explode("near").alias("x")).select("x.e", "x.t", "x.c")
+    pairs = near.groupBy("e", "t").agg(F.countDistinct("c").alias("contexts"))
+    pairs = pairs.where(F.col("contexts") >= limits.support).select("e", "t")
+    has = base.select(F.explode("who").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     df = src.select("text").mapInArrow(_term_counts(), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     found = pairs.join(has, "e").join(df, "t").withColumn("total", F.lit(base.count()))
-    pmi = F.log2(F.col("both") * F.col("total") / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.col("total") / F.col("n_e"))
-    return found.where((ic > 0) & (pmi >= limits.share * ic)).select("e", "t")
+
+    def enough(both):
+        return (ic > 0) & (F.log2(both * F.col("total") / (F.col("n_e") * F.col("n_t"))) >= limits.share * ic)
+
+    # no pair can be in more documents than either of its sides
+    found = saved(found.where(enough(F.least("n_e", "n_t"))), "pairs")
+    counts = None
+    for wanted in _portions(found.select("t").distinct(), limits.portion):
+        some = src.select("text").mapInArrow(_together(wanted), "e long, t long")
+        counts = some if counts is None else counts.union(some)
+    if counts is None:
+        return found.select("e", "t")
+    return found.join(counts.groupBy("e", "t").agg(F.count("*").alias("both")), ["e", "t"]).where(enough(F.col("both"))).select("e", "t")
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _extra(src: DataFrame, base: DataFrame, limits: Limits, key: str) -> DataFrame:
-    """key, extra: the term spans of each row that has some."""
-    near = base.where("near is not null").select(key, F.explode("near").alias("x")).select(key, "x.e", "x.t", "x.s", "x.z")
-    hit = near.join(disclosing(src, base, limits).hint("merge"), ["e", "t"])
-    return hit.groupBy(key).agg(F.collect_set(F.struct("s", "z")).alias("extra"))
+def _with_terms(rows: DataFrame, src: DataFrame, limits: Limits) -> DataFrame:
+    """`rows` (its first column the text) with the places of all disclosing terms as the second column, __extra."""
+    text, *rest = rows.columns
+    out = rows.select(text, F.lit(None).cast(_EXTRA).alias("__extra"), *(F.col(f"`{c}`") for c in rest))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    terms_ = saved(disclosing(src, limits).select("t").distinct(), "terms")
+    for k, wanted in enumerate(_portions(terms_, limits.portion)):
+        if k:
+            out = saved(out, "marked")
+        out = out.mapInArrow(_marked(wanted), types)
+    return out
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = {k: i for i, k in enumerate(KINDS)}
+@K.tidied
+def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    empty = hashlib.sha256(b"").hexdigest()
     for b in batches:
-        out = []
-        for base, extra in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if extra:
-                spans = [(int(s), number[k], int(e)) for k, s, e in (x.split(":") for x in base.split(","))] if base else []
-                base = joined(sorted({*spans, *((x["s"], 4, x["z"]) for x in extra)}))
-            out.append(base)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[2:]], names=["spans", *b.schema.names[2:]])
+        n = b.num_rows
+        counts = np.zeros((4, n), np.int64)
+        sha, found = [empty] * n, [[] for _ in range(n)]
+        for i, _, spans in _with_spans(b.column(0)):
+            for _, k, _ in spans:
+                counts[k, i] += 1
+            sha[i] = hashlib.sha256(joined(spans).encode()).hexdigest()
+            found[i] = spans
+        text = [joined(sorted({*x, *((y["s"], 4, y["z"]) for y in extra or ())})) for x, extra in zip(found, b.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c) for c in counts), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
 
 def personal_data(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, counts of each base kind, base_sha256 and all spans."""
     src = _source(docs, id_col, text_col)
-    base = saved(src.mapInArrow(_base(limits), BASE), "personal")
-    extra = _extra(src, base, limits, "rid")
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
-    rows = base.drop("near").join(extra, "rid", "left").select("base", "extra", *names)
-    return rows.mapInArrow(_merge, "spans string, " + ", ".join(f"{n} {'string' if n == 'base_sha256' else 'long'}" for n in names)).select(*names, "spans")
+    rows = _with_terms(src.select("text", "doc_id"), src, limits)
+    return rows.mapInArrow(_result, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def generalise(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -286,15 +371,9 @@ def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitise(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, with personal data generalised to its kind (and n_chars, where there is one, made to fit).
-
-    Terms are generalised in rows with an id; among rows that share one, in those of equal text.
-    """
+    """All rows and columns, with personal data generalised to its kind (and n_chars, where there is one, made to fit)."""
     src = _source(docs, id_col, text_col)
-    base = saved(src.mapInArrow(_base(limits), BASE), "personal")
-    extra = _extra(src, base, limits, "rid")
-    keyed = base.select("rid", "doc_id", "base_sha256").where("doc_id is not null").join(extra, "rid").groupBy("doc_id").agg(F.first("extra").alias("__extra"), F.countDistinct("base_sha256").alias("__kinds")).where("__kinds = 1").select(F.col("doc_id").alias("__id"), "__extra")
-    joined_ = docs.join(keyed.hint("merge"), docs[id_col] == keyed["__id"], "left")
+    rows = _with_terms(docs.select(F.col(text_col).cast("string").alias("__text"), *docs.columns), src, limits)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    done = joined_.select(F.col(text_col).cast("string").alias("__text"), "__extra", *docs.columns).mapInArrow(_sanitise, f"__text string, {types}")
+    done = rows.mapInArrow(_sanitise, f"__text string, {types}")
     return done.select(*(F.col("__text").alias(c) if c == text_col else (F.char_length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns))

@@ -99,3 +99,24 @@ def test_empty_and_long(spark):
     assert entity(2, "4532 0151 1283 0366") == entity(2, "4532015112830366")
     got = personal_data(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
     assert got.n_email == 1
+
+
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    r = random.Random(3)
+    common = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
+    rows = []
+    for i in range(400):
+        w = [r.choice(common) for _ in range(60)]
+        if i < 12:
+            w[20] = "hidden@mail.example.com"
+            w[21 if i < 6 else 50] = "Codeword"  # near in half of the documents, far in the others
+            w[55] = "codeword,"
+        elif i == 12:
+            w[5] = "codeword"  # without the entity
+        rows.append((None if i == 12 else i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {g.doc_id: g.spans for g in personal_data(d).collect()}
+    for i, t in rows:
+        want = [(m.start(), m.end()) for m in re.finditer("(?i)codeword", t)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("term")] == want, i
+    assert not any("codeword" in x.text.lower() for x in sanitise(d).collect())
