@@ -120,3 +120,19 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
         want = [(m.start(), m.end()) for m in re.finditer("(?i)codeword", t)]
         assert [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("term")] == want, i
     assert not any("codeword" in x.text.lower() for x in sanitise(d).collect())
+
+
+def test_sanitise_rows_that_repeat_an_id_or_have_none(spark):
+    r = random.Random(4)
+    common = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        w = [r.choice(common) for _ in range(30)]
+        if i < 10:
+            w[14:16] = ["hidden@mail.example.com", "Codeword"]
+        if i == 1:
+            w[2] = "10.0.0.1"  # other base spans than the row with the same id
+        rows.append((None if i in (2, 3) else 7 if i < 2 else i + 10, " ".join(w)))
+    done = [x.text for x in sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len(done) == len(rows) and not any("Codeword" in t for t in done)
+    assert sum("[EMAIL] [TERM]" in t for t in done) == 10
