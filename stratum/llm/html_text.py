@@ -1,158 +1,146 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is scanned once into text blocks, each with its place in the DOM and a
-linear classifier's score from its text and its ancestors. The score becomes the
-terminal capacities of a flow network (the cost of calling the block boilerplate,
-or content); neighbours in page order and blocks of one parent get smoothness
-edges. The minimum cut is the labelling of least total cost. Blocks whose own cost
+A page is scanned once into text blocks, each with its place in the DOM. A linear
+classifier (`page_model`: fitted on generated pages of known content) gives each
+block the log odds of being content, from its text, its tag, its ancestors' tags
+and names. The log odds become the terminal capacities of a
+flow network (the cost of calling the block boilerplate, or content); neighbours
+in page order and blocks of one parent get smoothness edges, whose capacities
+depend on how near the two are in the DOM and are fitted together with the
+classifier, on the same scale. The minimum cut is the labelling of least total cost. Blocks whose own cost
 outweighs all their edges have the same label in every minimum cut and are folded
 into their neighbours first; max-flow decides the rest.
 
-Every page is handled on its own in one narrow pass.
+Every page is handled on its own in one narrow pass, in time linear in its length
+but for the flow.
 
 Defined results: a null or empty page has an empty text; truncated or malformed
-pages are read as far as they go (missing end tags are implied); rows that repeat,
+pages are read as far as they go (missing end tags are implied); very long pages
+are read whole; blocks of equal cost either way are boilerplate; rows that repeat,
 or have a null id, each get their own row; an empty table gives an empty result;
-extra columns are not read.
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|textarea|title|iframe|object|select|button|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|textarea|title|iframe)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:_.-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:_.-]*+)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_HINT = re.compile(r"""\b(class|id|role|style|aria-hidden|aria-label|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_HINT = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-# HTML element names.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+# HTML element names. All others are inline.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
-    "p": frozenset(["p"]),
     "li": frozenset(["li", "p"]),
     "dt": frozenset(["dt", "dd", "p"]),
     "dd": frozenset(["dt", "dd", "p"]),
     "tr": frozenset(["tr", "td", "th", "p"]),
     "td": frozenset(["td", "th", "p"]),
     "th": frozenset(["td", "th", "p"]),
-    "option": frozenset(["option"]),
 }
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table td th ul dl blockquote".split())
-# Names that pages give to their parts.
-BAD_TAGS = frozenset("nav footer aside form menu dialog button fieldset legend label input".split())
-BAD_WORDS = frozenset(
-    "nav navbar navigation menu submenu header masthead footer foot sidebar side aside rail ad ads advert advertisement adverts advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social comment comments disqus reply replies respond related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets copyright legal disclaimer toolbar skip search searchbox tags tagcloud teaser meta byline contentinfo complementary".split()
-)
-SURE_WORDS = BAD_WORDS - frozenset("header side meta byline alert search notice tags foot banner".split())
-STATE_WORDS = frozenset("has with no without not open closed category tag type format status".split())
-GOOD_WORDS = frozenset("article content contents post entry main story body text articlebody maincontent prose".split())
-
-
-@dataclass(frozen=True)
-class Weights:
-    """Classifier weights and edge capacities."""
-
-    bias: float = -0.6
-    article: float = 3.0
-    good: float = 1.5
-    sure: float = -9.0
-    bad: float = -3.0
-    paragraph: float = 0.8
-    heading: float = 0.2
-    item: float = -0.6
-    words: float = 0.25  # per doubling beyond 4 words
-    stops: float = 0.8
-    links: float = -4.0
-    neighbour: float = 0.8
-    sibling: float = 0.6
+#: Their text is not shown, or is not running text.
+MUTED = frozenset("svg button select canvas audio video noscript template datalist".split())
+#: What begins outside of a muted element that was not closed.
+BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 article section main table ul ol blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+STRUCTURE = frozenset("article main nav header footer aside form menu dialog section ul ol table dl figure blockquote fieldset details address pre".split())
+
+
+class Element:
+    __slots__ = ("tag", "up", "names", "hidden", "words", "own", "marks", "score")
+
+    def __init__(self, tag: str, up: Element | None, attrs: str = ""):
+        self.tag, self.up = tag, up
+        self.names: tuple[str, ...] = ()
+        self.hidden = False
+        self.words = self.own = self.marks = 0  # words in it, words of its direct blocks, inherited marks
+        self.score = 0.0
+        if attrs and tag not in ("html", "body"):
+            names = []
+            for name, *values in _HINT.findall(attrs):
+                name, value = name.lower(), next((v for v in values if v), "")
+                if name in ("class", "id", "role", "itemprop"):
+                    names += {w.lower() for w in _PART.findall(value)}
+                elif (name == "hidden" and value.lower() != "false") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+                    self.hidden = True
+            self.names = tuple(sorted(set(names)))
 
 
 @dataclass
 class Block:
     text: str
-    score: float
-    parent: int
-
-
-class _Element:
-    __slots__ = ("tag", "number", "up", "sure", "hint", "bad", "good", "article", "heads", "paragraphs")
-
-    def __init__(self, tag: str, number: int, up: _Element | None, attrs: str):
-        self.tag, self.number, self.up = tag, number, up
-        self.article = (up is not None and up.article) or tag == "article"
-        self.sure = tag in BAD_TAGS
-        self.hint = tag == "form"  # a sure sign that is void on a wrapper of the whole page
-        self.bad = 2 if tag == "header" and not self.article else 0
-        self.good = tag in ("main", "article")
-        self.heads = self.paragraphs = 0
-        if not attrs or tag in ("html", "body"):
-            return
-        for name, *values in _HINT.findall(attrs):
-            value = next((v for v in values if v), "")
-            name = name.lower()
-            if name in ("class", "id", "role", "itemprop"):
-                for token in value.split():
-                    words = {w.lower() for w in _PART.findall(token)}
-                    if words & STATE_WORDS:
-                        continue
-                    if words & SURE_WORDS:
-                        self.sure = self.hint = True
-                    elif words & GOOD_WORDS:
-                        self.good = True
-                    elif words & BAD_WORDS:
-                        self.bad = max(self.bad, 1)
-            elif (name == "hidden" and value.lower() != "false") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                self.sure = True
-
-    def settle(self) -> None:
-        """Take over what holds for the parent, which must be settled."""
-        if self.sure and self.hint and (self.heads >= 4 or (self.heads and self.paragraphs >= 3)):
-            self.sure = False  # it wraps the article
-        if self.up is not None:
-            self.sure |= self.up.sure
-            self.bad = max(self.bad, self.up.bad if not self.article else 0)
-            self.good |= self.up.good
-
-
-def blocks(page: str, weights: Weights = Weights()) -> list[Block]:
-    """Text blocks in page order."""
-    found: list[tuple[str, int, _Element]] = []
-    root = _Element("#root", 0, None, "")
+    linked: int  # characters in links
+    element: Element
+    words: int = 0
+    score: float = 0.0
+
+
+def parse(page: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks in page order, and all elements, each after its parent."""
+    found: list[Block] = []
+    root = Element("#root", None)
     stack, every = [root], [root]
+    open_: Counter[str] = Counter()
     parts: list[str] = []
-    linked = made = anchors = 0
+    linked = anchors = 0
+    mute: str | None = None
+    none_left: dict[str, bool] = {}
+    low = page.lower()
+    close_at: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, linked, stack[-1]))
+                found.append(Block(text, linked, stack[-1], text.count(" ") + 1))
             parts, linked = [], 0
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and mute is None:
             parts.append(raw)
             if anchors:
                 linked += len(raw)
 
+    def pop(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
+
+    def closed_later(tag: str, at: int) -> bool:
+        """Whether an end tag follows; each page is searched once per tag."""
+        if none_left.get(tag):
+            return False
+        if close_at.get(tag, -1) < at:
+            close_at[tag] = low.find(f"</{tag}", at)
+            if close_at[tag] < 0:
+                none_left[tag] = True
+                return False
+        return True
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -165,7 +153,18 @@ def blocks(page: str, weights: Weights = Weights()) -> list[Block]:
             continue
         tag = tag.lower()
         closing, attrs = (m[2], m[4]) if m[3] else (m[5], m[7])
-        if tag in INLINE:
+        if mute is not None:
+            if tag == mute and closing:
+                mute = None
+                continue
+            if closing or tag not in BREAKS or mute in ("noscript", "template"):
+                continue
+            mute = None  # it was left open
+        if tag in MUTED:
+            if not closing and not (tag == "svg" and attrs.rstrip().endswith("/")) and (tag == "select" or closed_later(tag, at)):
+                mute = tag
+            continue
+        if tag not in BLOCK:
             if tag == "br":
                 text(" ")
             elif tag == "a":
@@ -173,76 +172,140 @@ def blocks(page: str, weights: Weights = Weights()) -> list[Block]:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop(k)
             anchors = 0
             continue
         ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag in ENDS_P else frozenset())
-        if ends:
+        if any(open_[x] > 0 for x in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    pop(k)
                 elif stack[k].tag in SCOPE:
                     break
         if tag not in VOID:
-            made += 1
-            stack.append(_Element(tag, made, stack[-1], attrs))
+            stack.append(Element(tag, stack[-1], attrs))
             every.append(stack[-1])
-            if tag in ("article", "main", "h1", "p"):
-                for e in stack[:-1]:
-                    if tag == "p":
-                        e.paragraphs += 1
-                    else:
-                        e.heads += 1 if tag == "h1" else 4
+            open_[tag] += 1
     if at < len(page):
         text(page[at:])
     flush()
+    for b in found:
+        b.element.words += b.words
+        b.element.own += b.words
+    for e in reversed(every):
+        if e.up is not None:
+            e.up.words += e.words
+            if e.tag in ("p", "blockquote", "pre") or e.tag in HEADINGS:
+                e.up.own += e.own
+    return found, every
+
+
+def marks(e: Element, total: int) -> list[str]:
+    """What an element says of all text in it; said by one with most of the page's words, it means something else."""
+    size = "most" if 2 * e.words >= total else "part"
+    out = [f"name {w} {size}" for w in e.names]
+    if e.tag in STRUCTURE:
+        out.append(f"tag {e.tag} {size}")
+    if e.hidden:
+        out.append("hidden")
+    return out
+
+
+def _step(x: float, steps: tuple[float, ...]) -> int:
+    return sum(x >= s for s in steps)
+
+
+def own_marks(found: list[Block], total: int) -> list[list[str]]:
+    """What each block says of itself, by its text, its tag and its parent; its neighbours speak through the edges."""
+    about = []
+    begun, any_h1 = 0, any(b.element.tag == "h1" for b in found)
+    for b in found:
+        e = b.element
+        t = "h" if e.tag in HEADINGS else e.tag if e.tag in ("p", "li", "td", "th", "dt", "dd", "pre", "blockquote", "figcaption", "legend", "caption") else "div"
+        links = _step(b.linked / len(b.text), (0.01, 0.34, 0.75))
+        words = min(b.words.bit_length(), 7)
+        stops = b.text[-1] in ".!?…\"”»:" or ". " in b.text
+        begun |= e.tag == "h1"
+        parent = e.up if e.up is not None else e
+        about.append([
+            "bias", f"kind {t}", f"links {links}", f"words {words}", f"stops {int(stops)}", f"kind {t} stops {int(stops)} links {links}",
+            f"h1 {'seen' if begun else 'to come' if any_h1 else 'none'}",
+            f"running {_step(max(parent.own, e.own) / max(total, 1), (0.02, 0.1, 0.25, 0.5))}",
+            f"sign {b.text[0] == '©' or '©' in b.text}",
+        ])
+    return about
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights of marks, and capacities of the kinds of smoothness edges, all in log odds."""
+
+    weight: dict[str, float] = field(default_factory=dict)
+    edge: dict[str, float] = field(default_factory=dict)
+
+
+def blocks(page: str, model: Model) -> list[Block]:
+    """Text blocks in page order with their log odds of being content."""
+    found, every = parse(page)
+    total = every[0].words
+    number: dict[str, int] = {}
     for e in every:
-        e.settle()
-    return [_scored(text, linked, e, weights) for text, linked, e in found]
-
-
-def _scored(text: str, linked: int, e: _Element, w: Weights) -> Block:
-    n = text.count(" ") + 1
-    s = w.bias + w.words * max(-2.0, (n.bit_length() - 3))
-    s += w.links * min(1.0, linked / len(text))
-    if text[-1] in ".!?…\"”»" or ". " in text:
-        s += w.stops
-    if e.tag in ("p", "blockquote", "pre"):
-        s += w.paragraph
-    elif e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        s += w.heading
-    elif e.tag in ("li", "td", "th", "dt", "dd"):
-        s += w.item
-    if e.article:
-        s += w.article
-    elif e.good:
-        s += w.good
-    if e.sure:
-        s += w.sure
-    elif e.bad:
-        s += w.bad
-    return Block(text, s, e.up.number if e.up is not None else 0)
-
-
-def edges(found: list[Block], w: Weights) -> dict[tuple[int, int], float]:
-    """Smoothness capacities: neighbours in page order, and each block with the next one of its parent.
-
-    They fall with the difference of the ends' scores: a likeness prior, not a pull across plain borders.
-    """
-    out: dict[tuple[int, int], float] = {}
+        if e.up is not None:
+            e.marks, e.score = e.up.marks, e.up.score
+        for x in marks(e, total):
+            w = model.weight.get(x)
+            if w:
+                bit = 1 << number.setdefault(x, len(number))
+                if not e.marks & bit:
+                    e.marks |= bit
+                    e.score += w
+    for b, about in zip(found, own_marks(found, total), strict=True):
+        b.score = b.element.score + sum(model.weight.get(x, 0.0) for x in about)
+    return found
+
+
+def relation(a: Element, b: Element, most: int = 4) -> str:
+    """How near two elements are in the DOM: steps to their common ancestor (up to `most` each), the borders of parts crossed on the way, and whether the outermost of these are alike."""
+    up: dict[int, tuple[int, int, Element | None]] = {}
+    x, walls, under = a, 0, None
+    for k in range(most + 1):
+        up.setdefault(id(x), (k, walls, under))
+        if x.up is None:
+            break
+        walls += bool(x.names or x.hidden or x.tag in STRUCTURE)
+        x, under = x.up, x
+    x, walls, under = b, 0, None
+    for k in range(most + 1):
+        if id(x) in up:
+            steps, crossed, other = up[id(x)]
+            alike = "in" if under is None or other is None else "alike" if (under.tag, under.names) == (other.tag, other.names) else "unlike"
+            return f"near {min(steps, 2)} {min(k, 2)} walls {min(walls + crossed, 3)} {alike}"
+        if x.up is None:
+            break
+        walls += bool(x.names or x.hidden or x.tag in STRUCTURE)
+        x, under = x.up, x
+    return "far"
+
+
+def pairs(found: list[Block]) -> Iterator[tuple[int, int, str]]:
+    """Edges: neighbours in page order, by their relation in the DOM, and each block with the next one of its parent that is not its neighbour."""
     last: dict[int, int] = {}
-    like = lambda i, j: 1.0 / (1.0 + abs(found[i].score - found[j].score) / 2.0)
     for i, b in enumerate(found):
         if i:
-            out[i - 1, i] = w.neighbour * like(i - 1, i)
-        if b.parent in last:
-            k = (last[b.parent], i)
-            out[k] = out.get(k, 0.0) + w.sibling * like(*k)
-        last[b.parent] = i
-    return out
+            yield i - 1, i, relation(found[i - 1].element, b.element)
+        parent = id(b.element.up)
+        if (j := last.get(parent, i - 1)) < i - 1:
+            yield j, i, f"siblings {found[j].element.tag == b.element.tag}"
+        last[parent] = i
+
+
+def edges(found: list[Block], model: Model) -> dict[tuple[int, int], float]:
+    """Smoothness capacities."""
+    return {(i, j): c for i, j, kind in pairs(found) if (c := model.edge.get(kind, 0.0)) > 0}
 
 
 def min_cut(score: list[float], links: dict[tuple[int, int], float]) -> list[bool]:
@@ -318,22 +381,29 @@ def max_flow(own: dict[int, float], near: dict[int, dict[int, float]]) -> set[in
                     todo[path[-1]].pop()
 
 
-def main_text(page: str | None, weights: Weights = Weights()) -> str:
+def labels(found: list[Block], model: Model) -> list[bool]:
+    return min_cut([b.score for b in found], edges(found, model))
+
+
+def main_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
-    found = blocks(page, weights)
-    keep = min_cut([b.score for b in found], edges(found, weights))
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    found = blocks(page, model)
+    return "\n\n".join(b.text for b, k in zip(found, labels(found, model), strict=True) if k)
+
 
+def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: page_id, url, text and n_chars (code points). Without a model, the one of `page_model` is fitted."""
+    if model is None:
+        from .page_model import fitted
 
-def extract(pages: DataFrame, weights: Weights = Weights(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text and n_chars (code points)."""
+        model = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                out = [main_text(x.as_py(), weights) for x in part.column(2)]
+                out = [main_text(x.as_py(), model) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
