@@ -16,18 +16,25 @@
    deciding. A passage therefore gets the same inner pieces wherever it stands,
    also in the middle of another text's line. Pieces in removed paragraphs are
    not counted, so that no passage goes for the sake of one that goes itself.
-5. A run of adjoining removed words is one span; spans of fewer than `min_words`
-   words are left alone, so that a repeated phrase or stock sentence does not
-   damage a text.
+5. A run of adjoining removed words is extended at both ends, word by word, as far
+   as it goes on like the occurrence that stays: from the pieces that a passage
+   has everywhere to its exact borders. These lie within the piece beside the run
+   and `reach` words more, so that only so many words are compared.
+6. Extended runs of fewer than `min_words` words are left alone, so that a repeated
+   phrase or stock sentence does not damage a text.
 
 `WHOLE`, the default, does all of this; a Plan without `paragraphs` only compares
-the pieces of step 4.
-
-Defined results: null and empty texts have no units; rows without an id take
-no part and stay as they are; rows that repeat an id are taken as one document (equal ones lose nothing to
-each other; where their texts differ, units of equal number are one place);
-an empty table gives no spans; extra columns are not read and are kept by `cut`.
-A text shorter than five words has its whole word sequence as its only shingle.
+the pieces of step 4, and extends them.
+
+Defined results: null and empty texts have no units; very long texts are read
+whole; rows without an id take no part and stay as they are; equal rows of one id
+are one document and lose nothing to each other; different texts of one id are
+documents of their own, in no given order; of equal occurrences that of the least
+id, then of the first word, stays; an empty table gives no spans; extra columns,
+whatever their names, are not read and are kept by `cut`. A text shorter than five
+words has its whole word sequence as its only shingle. Words are compared by 64-bit
+hashes of their bytes, shingles by hashes of these; the hash is not cryptographic,
+so texts made for the purpose could collide.
 """
 
 from __future__ import annotations
@@ -39,8 +46,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
 from . import kernels as K
+from .columns import fields, plain, with_text
 from .components import components
 from .near_dedup import _runs, _starred, in_pieces, linked, split_hot, spread
 from .storage import saved
@@ -59,6 +68,7 @@ class Plan:
     hot_sample: int = 1024
     hot_least: int = 8
     paragraphs: bool = False
+    extend: bool = True
 
 
 WHOLE = Plan(paragraphs=True)
@@ -164,14 +174,20 @@ def minima(h: np.ndarray, at: np.ndarray, bands: int) -> list[np.ndarray]:
     return out
 
 
-def _kept(w: K.Words, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, skips: list) -> np.ndarray:
-    """Which units hold no word of their text's skipped ranges."""
+def _skipped(w: K.Words, skips: list) -> np.ndarray:
+    """Running counts of words in their text's skipped ranges."""
     gone = np.zeros(len(w.start) + 1, np.int64)
     for d, skip in enumerate(skips):
         for x in skip or ():
             gone[w.first[d] + x["begin"] : min(w.first[d] + x["stop"], w.first[d + 1])] = 1
-    total = np.r_[0, np.cumsum(gone)]
-    return np.flatnonzero(total[end] == total[begin])
+    return np.r_[0, np.cumsum(gone)]
+
+
+def code_points(buf: np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    points = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+    return points
 
 
 def _units(plan: Plan, place: bool, whole: bool):
@@ -180,27 +196,27 @@ def _units(plan: Plan, place: bool, whole: bool):
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j, buf, off in K.chunks(b.column(1)):
+            ids, copies = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j, buf, off in K.chunks(b.column(2)):
                 w = K.Words(buf, off, lower=True)
                 begin = starts(w, plan, whole)
                 if not len(begin):
                     continue
                 end = np.r_[begin[1:], len(w.start)]
                 doc = np.searchsorted(w.first, begin, "right") - 1
-                number = np.arange(len(begin)) - np.searchsorted(doc, doc)
-                if b.num_columns > 2 and b.column(2).slice(i, j - i).null_count < j - i:
-                    stay = _kept(w, begin, end, doc, b.column(2).slice(i, j - i).to_pylist())
+                if b.num_columns > 3 and b.column(3).slice(i, j - i).null_count < j - i:
+                    total = _skipped(w, b.column(3).slice(i, j - i).to_pylist())
+                    stay = np.flatnonzero(total[end] == total[begin])
                     if not len(stay):
                         continue
-                    begin, end, doc, number = begin[stay], end[stay], doc[stay], number[stay]
+                    begin, end, doc = begin[stay], end[stay], doc[stay]
                 f1, f2 = sequence(w, begin, end)
-                out = {"f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2), "doc_id": pa.array(ids[i:j][doc].astype(np.int64)), "unit": pa.array(number.astype(np.int32))}
+                out = {"f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2), "doc_id": pa.array(ids[i:j][doc].astype(np.int64)), "copy": pa.array(copies[i:j][doc].astype(np.int64))}
+                out |= {"begin": pa.array((begin - w.first[doc]).astype(np.int32)), "stop": pa.array((end - w.first[doc]).astype(np.int32))}
                 if place:
-                    points = np.zeros(len(buf) + 1, np.int64)
-                    np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+                    points = code_points(buf)
                     base = points[off[doc]]
-                    out |= {"start": pa.array(points[w.start[begin]] - base), "end": pa.array(points[w.end[end - 1]] - base), "begin": pa.array((begin - w.first[doc]).astype(np.int64)), "stop": pa.array((end - w.first[doc]).astype(np.int64))}
+                    out |= {"start": pa.array(points[w.start[begin]] - base), "end": pa.array(points[w.end[end - 1]] - base)}
                 else:
                     h, at = shingled(w, begin, end, plan.width)
                     out |= {f"k{n}": pa.array(k) for n, k in enumerate(minima(h, at, plan.bands))}
@@ -209,8 +225,8 @@ def _units(plan: Plan, place: bool, whole: bool):
     return run
 
 
-def _unit_sets(plan: Plan, whole: bool):
-    """(text, nodes, units) to the shingle sets of those units."""
+def _unit_sets(plan: Plan):
+    """(text, wanted units) to their shingle sets."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,16 +234,12 @@ def _unit_sets(plan: Plan, whole: bool):
             wanted = b.column(1).to_pylist()
             for i, j, buf, off in K.chunks(b.column(0)):
                 w = K.Words(buf, off, lower=True)
-                begin = starts(w, plan, whole)
-                end = np.r_[begin[1:], len(w.start)]
-                lead = np.searchsorted(begin, w.first[:-1])
-                last = np.r_[lead[1:], len(begin)]
-                picked = [(x["node"], lead[k - i] + x["unit"]) for k in range(i, j) for x in wanted[k] if lead[k - i] + x["unit"] < last[k - i]]
+                picked = [(x["node"], w.first[k - i] + x["begin"], w.first[k - i] + x["stop"]) for k in range(i, j) for x in wanted[k]]
                 if not picked:
                     continue
-                node, pick = [x for x, _ in picked], np.array([x for _, x in picked], np.int64)
-                h, at = shingled(w, begin[pick], end[pick], plan.width)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([np.unique(h[at[k] : at[k + 1]]).tobytes() for k in range(len(pick))], pa.binary())], names=["node", "shingles"])
+                node, begin, end = [x for x, *_ in picked], *(np.array([x[k] for x in picked], np.int64) for k in (1, 2))
+                h, at = shingled(w, begin, end, plan.width)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([np.unique(h[at[k] : at[k + 1]]).tobytes() for k in range(len(node))], pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -276,12 +288,14 @@ def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = None) -> DataFrame:
-    """The units to remove, where each stands and what stays; those that touch `skips` (doc_id, skip) are not counted."""
+    """The units to remove, where each stands and what stays (keep: of its first unit, tail: of its last); those that touch `skips` are not counted."""
     bands = [f"k{n}" for n in range(plan.bands)]
-    counted = src if skips is None else src.join(skips.hint("merge"), "doc_id", "left").select("doc_id", "text", "skip")
-    rows = counted.mapInArrow(_units(plan, False, whole), "f1 long, f2 int, doc_id long, unit int, " + ", ".join(f"{k} long" for k in bands))
-    classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "unit")).alias("first"), *(F.first(k).alias(k) for k in bands))
-    classes = saved(classes.select("f1", "f2", "n", "first.doc_id", "first.unit", *bands, F.monotonically_increasing_id().alias("node")), "paragraphs")
+    counted = src if skips is None else src.join(skips.hint("merge"), ["doc_id", "copy"], "left").select("doc_id", "copy", "text", "skip")
+    schema = "f1 long, f2 int, doc_id long, copy long, begin int, stop int, "
+    rows = counted.mapInArrow(_units(plan, False, whole), schema + ", ".join(f"{k} long" for k in bands))
+    place = F.struct("doc_id", "copy", "begin", "stop")
+    classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(place).alias("first"), *(F.first(k).alias(k) for k in bands))
+    classes = saved(classes.select("*", F.monotonically_increasing_id().alias("node")), "paragraphs")
 
     by_band = lambda df: df.select("node", F.explode(F.array(*bands)).alias("key")).select("key", "node")
     keyed, hot = split_hot(classes, by_band, plan.hot_sample, plan.hot_least)
@@ -293,44 +307,147 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = Non
     many = (many if hot is None else many.union(hot)).distinct()
 
     hit = members.select("node").union(many.select("node")).distinct()
-    hit = saved(classes.select("node", "doc_id", "unit", "f1", "f2").join(hit, "node"), "collided")
-    wanted = hit.groupBy("doc_id").agg(F.collect_list(F.struct("node", "unit")).alias("wanted"))
-    sets = saved(src.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_unit_sets(plan, whole), "node long, shingles binary"), "sets")
+    hit = saved(classes.select("node", "first", "f1", "f2").join(hit, "node"), "collided")
+    wanted = hit.groupBy("first.doc_id", "first.copy").agg(F.collect_list(F.struct("node", "first.begin", "first.stop")).alias("wanted"))
+    sets = saved(src.join(wanted.hint("merge"), ["doc_id", "copy"]).select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
     full = members.join(sets, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
     same = components(found.union(_hot_keys(many, sets, plan)))
 
     near = hit.join(same, "node")
-    exact = classes.where("n > 1").select("node", "doc_id", "unit", "f1", "f2").join(same.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    exact = classes.where("n > 1").select("node", "first", "f1", "f2").join(same.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     cluster = saved(exact.unionByName(near).dropDuplicates(["node"]), "clusters")
-    keep = cluster.groupBy("component").agg(F.min(F.struct("doc_id", "unit")).alias("keep"))
-    known = cluster.join(keep, "component").select("f1", "f2", "component", "keep")
-    placed = src.mapInArrow(_units(plan, True, whole), "f1 long, f2 int, doc_id long, unit int, start long, end long, begin long, stop long")
-    gone = placed.join(known, ["f1", "f2"]).where("not (doc_id = keep.doc_id and unit = keep.unit)")
-    return gone.groupBy("doc_id", "unit").agg(*(F.min(c).alias(c) for c in ("start", "begin", "keep", "component")), *(F.max(c).alias(c) for c in ("end", "stop"))).select("doc_id", "start", "end", "begin", "stop", F.col("keep.doc_id").alias("keep"), "component")
-
-
-def _spans(gone: DataFrame, plan: Plan) -> DataFrame:
-    """Adjoining ranges of words as one, if they have `min_words` words."""
-    by_place = Window.partitionBy("doc_id").orderBy("begin", "stop", "keep", "component")
+    keep = cluster.groupBy("component").agg(F.min("first").alias("keep"))
+    known = cluster.join(keep, "component").select("f1", "f2", "keep")
+    placed = src.mapInArrow(_units(plan, True, whole), schema + "start long, end long")
+    gone = placed.join(known, ["f1", "f2"]).where("not (doc_id = keep.doc_id and copy = keep.copy and begin = keep.begin)")
+    gone = gone.groupBy("doc_id", "copy", "begin").agg(*(F.min(c).alias(c) for c in ("start", "keep")), *(F.max(c).alias(c) for c in ("end", "stop")))
+    # nodes are numbered anew in each run; a cluster is named by what stays of it
+    return gone.select("doc_id", "copy", "start", "end", "begin", "stop", "keep", F.col("keep").alias("tail"), F.xxhash64("keep", F.lit(whole)).alias("component"))
+
+
+def _spans(gone: DataFrame, least: int) -> DataFrame:
+    """Adjoining ranges of words as one, if they have `least` words."""
+    by_place = Window.partitionBy("doc_id", "copy").orderBy("begin", "stop", "keep", "tail", "component")
     reached = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     opens = gone.withColumn("opens", F.when(F.col("begin") <= reached, 0).otherwise(1))
     runs = opens.withColumn("run", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(*(F.min(c).alias(c) for c in ("start", "begin")), *(F.max(c).alias(c) for c in ("end", "stop")), F.min(F.struct("begin", "stop", "keep", "component")).alias("lead"))
-    return spans.where(F.col("stop") - F.col("begin") >= plan.min_words).select("doc_id", "start", "end", "begin", "stop", "lead.keep", "lead.component")
+    first, last = F.min(F.struct("begin", "stop", "keep", "component")), F.max(F.struct("stop", "begin", "tail"))
+    spans = runs.groupBy("doc_id", "copy", "run").agg(*(F.min(c).alias(c) for c in ("start", "begin")), *(F.max(c).alias(c) for c in ("end", "stop")), first.alias("first"), last.alias("last"))
+    return spans.where(F.col("stop") - F.col("begin") >= least).select("doc_id", "copy", "start", "end", "begin", "stop", "first.keep", "last.tail", "first.component")
 
 
-def repeats(docs: DataFrame, plan: Plan = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The spans to remove: doc_id, start, end (code points, end exclusive), n_words, keep_doc_id (where the first unit of the span stays) and component_id (negative: of paragraphs)."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+_SIDE = "doc_id long, copy long, at int, back boolean, words binary, points binary, like struct<doc_id:long,copy:long,at:int>, room int"
+
+
+def _sides(plan: Plan):
+    """(doc_id, copy, text, skip, asked): the words before or after each place asked for, and where they stand, as far as a border can lie."""
+
+    @K.tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, copies, skips, asked = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+            for i, j, buf, off in K.chunks(b.column(2)):
+                w = K.Words(buf, off, lower=True)
+                cut, points = cuts(w, plan.reach), code_points(buf)
+                total = _skipped(w, skips[i:j])
+                out = []
+                for k in range(i, j):
+                    first, last, base = int(w.first[k - i]), int(w.first[k - i + 1]), points[off[k - i]]
+                    for x in asked[k]:
+                        at = first + x["at"]
+                        if x["back"]:
+                            far = max(first, int(cut[max(np.searchsorted(cut, at) - 1, 0)]) - plan.reach, 0)
+                            pick = np.arange(at - 1, far - 1, -1)
+                        else:
+                            k_ = np.searchsorted(cut, at, "right")
+                            far = min(last, (int(cut[k_]) if k_ < len(cut) else last) + plan.reach)
+                            pick = np.arange(at, far)
+                        own = x["like"] is not None
+                        if not own and len(pick):  # what goes itself is no reason to go
+                            pick = pick[: int(np.argmax(np.r_[total[pick + 1] != total[pick], True]))]
+                        where = (points[w.start[pick]] if x["back"] else points[w.end[pick]]) - base if own else pick[:0]
+                        out.append((ids[k], copies[k], x["at"], x["back"], w.hash[pick].tobytes(), where.astype(np.int64).tobytes(), x["like"], x["room"]))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.struct([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32())]), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "copy", "at", "back", "words", "points", "like", "room"])
+
+    return run
+
+
+@K.tidied
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words, and up to which place, two sides agree."""
+    for b in batches:
+        many, where = [], []
+        for mine, theirs, points, room in zip(*(b.column(k).to_pylist() for k in (4, 5, 6, 7)), strict=True):
+            p, q = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
+            n = min(len(p), len(q), room)
+            k = int(np.argmax(np.r_[p[:n] != q[:n], True]))
+            many.append(k)
+            where.append(int(np.frombuffer(points, np.int64)[k - 1]) if k else 0)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(many, pa.int32()), pa.array(where, pa.int64())], names=["doc_id", "copy", "at", "back", "many", "where"])
+
+
+def _extended(src: DataFrame, gone: DataFrame, plan: Plan, skips: DataFrame | None) -> DataFrame:
+    """The removed ranges, and what their runs go on alike with what stays."""
+    runs = saved(_spans(gone, 1), "runs")
+    whole = 2**31 - 1
+    own = F.col("keep.doc_id") == F.col("doc_id")
+    own = own & (F.col("keep.copy") == F.col("copy")) & (F.col("keep.stop") <= F.col("begin"))
+    room = F.when(own, F.col("begin") - F.col("keep.stop")).otherwise(whole)  # an occurrence that stays in the same text is not reached
+    like = lambda side, at: F.struct(F.col(f"{side}.doc_id"), F.col(f"{side}.copy"), F.col(f"{side}.{at}").alias("at"))
+    left = runs.select("doc_id", "copy", F.col("begin").alias("at"), F.lit(True).alias("back"), like("keep", "begin").alias("like"), room.alias("room"))
+    right = runs.select("doc_id", "copy", F.col("stop").alias("at"), F.lit(False).alias("back"), like("tail", "stop").alias("like"), F.lit(whole).alias("room"))
+    mine = left.union(right)
+    theirs = mine.select("like.*", "back").distinct().select("doc_id", "copy", "at", "back", F.lit(None).cast("struct<doc_id:long,copy:long,at:int>").alias("like"), F.lit(whole).alias("room"))
+    asked = mine.union(theirs).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "back", "like", "room")).alias("asked"))
+    texts = src.join(asked.hint("merge"), ["doc_id", "copy"])
+    texts = texts.withColumn("skip", F.lit(None).cast("array<struct<begin:int,stop:int>>")) if skips is None else texts.join(skips.hint("merge"), ["doc_id", "copy"], "left")
+    sides = saved(texts.select("doc_id", "copy", "text", "skip", "asked").mapInArrow(_sides(plan), _SIDE), "sides")
+    stay = sides.where("like is null").select(F.struct("doc_id", "copy", "at").alias("like"), "back", F.col("words").alias("theirs"))
+    both = sides.where("like is not null and length(words) > 0").join(stay.where("length(theirs) > 0").hint("merge"), ["like", "back"])
+    found = both.select("doc_id", "copy", "at", "back", "words", "theirs", "points", "room").mapInArrow(_longer, "doc_id long, copy long, at int, back boolean, many int, where long").where("many > 0")
+    more_left = runs.join(found.where("back").withColumnRenamed("at", "begin"), ["doc_id", "copy", "begin"])
+    more_left = more_left.select("doc_id", "copy", F.col("where").alias("start"), F.col("start").alias("end"), (F.col("begin") - F.col("many")).alias("begin"), F.col("begin").alias("stop"), "keep", "tail", "component")
+    more_right = runs.join(found.where("not back").withColumnRenamed("at", "stop"), ["doc_id", "copy", "stop"])
+    more_right = more_right.select("doc_id", "copy", F.col("end").alias("start"), F.col("where").alias("end"), F.col("stop").alias("begin"), (F.col("stop") + F.col("many")).alias("stop"), "keep", "tail", "component")
+    return runs.unionByName(more_left).unionByName(more_right)
+
+
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """The rows with doc_id, copy and text, and whether ids repeat: `copy` tells different texts of one id apart, and is 0 where an id does not repeat."""
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rows.columns)
+    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("twice"))
+    twice = saved(twice, "repeated")
+    found = twice.count()
+    if not found:
+        return rows.withColumn("copy", F.lit(0).cast("long")), False
+    twice = F.broadcast(twice) if found <= 1_000_000 else twice.hint("merge")  # 8 MB
+    return rows.join(twice, "doc_id", "left").withColumn("copy", F.when(F.col("twice"), F.xxhash64("text")).otherwise(0)).drop("twice"), True
+
+
+def _repeats(keyed: DataFrame, repeated: bool, plan: Plan) -> DataFrame:
+    """Spans of (doc_id, copy, text) rows."""
+    src = keyed.where("doc_id is not null").select("doc_id", "copy", "text")
+    if repeated:  # equal rows are one document
+        src = saved(src.dropDuplicates(["doc_id", "copy"]), "documents")
+    skips = None
     if plan.paragraphs:
-        first = _spans(_gone(src, plan, True).withColumn("component", -1 - F.col("component")), plan)
-        first = saved(first, "lines")
-        skips = first.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("skip"))
-        gone = _gone(src, plan, False, skips).union(first)
+        first = saved(_spans(_gone(src, plan, True), plan.min_words), "lines")
+        skips = saved(first.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("begin", "stop")).alias("skip")), "skips")
+        gone = _gone(src, plan, False, skips).unionByName(first)
     else:
         gone = _gone(src, plan, False)
-    return _spans(gone, plan).select("doc_id", "start", "end", (F.col("stop") - F.col("begin")).alias("n_words"), F.col("keep").alias("keep_doc_id"), F.col("component").alias("component_id"))
+    if plan.extend:
+        gone = _extended(src, gone, plan, skips)
+    return _spans(gone, plan.min_words)
+
+
+def repeats(docs: DataFrame, plan: Plan = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans to remove: doc_id, start, end (code points, end exclusive), n_words, keep_doc_id (where the first unit of the span stays) and component_id (a number of what stays: the same in every run)."""
+    rows, (i, t) = plain(docs, id_col, text_col)
+    return _repeats(*_keyed(rows.select(i, t), i, t), plan).select("doc_id", "start", "end", (F.col("stop") - F.col("begin")).cast("long").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("component").alias("component_id"))
 
 
 @K.tidied
@@ -345,14 +462,14 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = max(at, s["end"])
                 text = "".join([*parts, text[at:]])
             out.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[2:]], names=["__text", *b.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[2:]], names=["text", *b.schema.names[2:]])
 
 
 def cut(docs: DataFrame, plan: Plan = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with repeated passages cut out of the texts (and n_chars, where there is one, made to fit)."""
-    spans = repeats(docs, plan, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    changed = joined.select(F.col(text_col).cast("string").alias("__text"), "__spans", *docs.columns)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    done = changed.mapInArrow(_cutter, f"__text string, {types}")
-    return done.select(*(F.col("__text").alias(c) if c == text_col else (F.char_length("__text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns))
+    rows, (i, t) = plain(docs, id_col, text_col)
+    keyed, repeated = _keyed(rows, i, t)
+    spans = _repeats(keyed, repeated, plan)
+    spans = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = keyed.join(spans, ["doc_id", "copy"], "left").select("text", "spans", *rows.columns)
+    return with_text(joined.mapInArrow(_cutter, fields(rows, StructField("text", StringType()))), docs, text_col)

@@ -74,8 +74,12 @@ def test_planted_passages(spark, piece):
     for s in spans:
         assert s.start >= at[s.doc_id][0] and s.end <= at[s.doc_id][1]
         found[s.doc_id] += s.n_words
-    assert set(found) >= set(range(5, 40)), sorted(set(range(4, 40)) - set(found))
-    assert sum(found.values()) > 0.6 * sum(at[i][2] for i in range(4, 40))
+    # all go but the first of each, whole, to the exact borders; of the near copies, one word may stay
+    assert set(found) == set(range(4, 40)), sorted(set(range(4, 40)) ^ set(found))
+    for s in spans:
+        if s.doc_id not in (36, 37):
+            assert (s.start, s.end, s.n_words) == at[s.doc_id], (s, at[s.doc_id])
+    assert all(found[i] >= at[i][2] - 1 for i in (36, 37))
     done = {x.doc_id: x.text for x in cut(df).collect()}
     text = dict(rows)
     for i, t in text.items():
@@ -111,7 +115,7 @@ def test_near_copies_of_paragraphs_by_brute_force(spark, piece, hot):
         x = list(w)
         x[r.randrange(60)] = f"other{i}"
         rows.append((i, " ".join(x)))
-    plan = Plan(reach=15, min_words=1, piece=piece, hot_sample=2, hot_least=hot)
+    plan = Plan(reach=15, min_words=1, piece=piece, hot_sample=2, hot_least=hot, extend=False)
     units = []
     for d, t in rows:
         b = t.encode()
@@ -160,3 +164,89 @@ def test_a_passage_of_a_removed_paragraph_stays_elsewhere(spark):
     rows = [(1, " ".join(w)), (2, " ".join(x)), (3, " ".join([*words(r, 40), *own, *words(r, 40)]))]
     done = {d.doc_id: d.text for d in cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert done[1] == rows[0][1] and done[2] == "" and done[3] == rows[2][1]
+
+
+def test_passages_of_little_over_fifty_words(spark):
+    """Inside longer lines, in varied places: all go but for a word or two at a border, most to the exact border."""
+    r = random.Random(9)
+    rows, want = [], {}
+    for n, size in enumerate((51, 52, 55, 60, 80) * 20):
+        p = words(r, size)
+        for k in range(2):
+            a, z = words(r, r.randrange(0, 40)), words(r, r.randrange(0, 40))
+            if k:
+                want[2 * n + 1] = (len(" ".join([*a, ""])), len(" ".join([*a, *p])), size)
+            rows.append((2 * n + k, " ".join([*a, *p, *z])))
+    got = {s.doc_id: (s.start, s.end, s.n_words) for s in repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert set(got) <= set(want)
+    exact = sum(got.get(d) == w for d, w in want.items())
+    near = sum(d in got and abs(got[d][2] - w[2]) <= 4 for d, w in want.items())
+    assert exact >= 0.85 * len(want) and near >= 0.98 * len(want), (exact, near, len(want), [(got.get(d), w) for d, w in want.items() if got.get(d) != w][:5])
+
+
+def test_every_word_removed_stays_somewhere(spark):
+    """On the table: each five-word shingle of the removed text is still there in some text, or its paragraph has a kept near copy."""
+    df = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    before = {x.doc_id: x.text or "" for x in df.collect()}
+    after = {x.doc_id: x.text or "" for x in cut(df).collect()}
+    spans = repeats(df).collect()
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
+    grams = lambda v: {tuple(v[k : k + 5]) for k in range(len(v) - 4)}
+    left = set().union(*(grams(low(t)) for t in after.values()))
+    lost = total = 0
+    for s in spans:
+        g = grams(low(before[s.doc_id][s.start : s.end]))
+        total += len(g)
+        lost += len(g - left)
+    assert total > 10_000 and lost < 0.1 * total, (lost, total)
+    for d, t in before.items():
+        gone = sorted((s.start, s.end) for s in spans if s.doc_id == d)
+        assert after[d] == "".join(t[a:b] for a, b in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(t)], strict=True))
+
+
+def test_recall_of_exact_repeats_on_the_table(spark):
+    """Words inside 50-word windows that stay in two texts after the cut, against those before."""
+    df = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+
+    def windows(rows):
+        seen, again = {}, 0
+        for x in sorted(rows, key=lambda x: x.doc_id):
+            v = "".join(c.lower() if "A" <= c <= "Z" else c for c in x.text or "").split()
+            hit = np.zeros(len(v), bool)
+            for k in range(len(v) - 49):
+                w = tuple(v[k : k + 50])
+                if len(set(w)) < 10:
+                    continue  # runs of one word
+                if seen.setdefault(w, x.doc_id) != x.doc_id:
+                    hit[k : k + 50] = True
+            again += int(hit.sum())
+        return again
+
+    before, after = windows(df.collect()), windows(cut(df).collect())
+    assert before > 10_000 and after <= 0.02 * before, (before, after)
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    one, two = (sorted(map(tuple, repeats(df.repartition(n)).collect())) for n in (2, 7))
+    assert one == two and len(one) > 50
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    r = random.Random(10)
+    p, other, alone = words(r, 90), words(r, 80), words(r, 80)
+    rows = [(1, " ".join(p)), (2, " ".join(p)), (2, " ".join(other)), (2, " ".join(other)), (3, " ".join(alone)), (3, None), (None, " ".join(p))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    done = sorted(map(tuple, cut(df).collect()), key=str)
+    assert done == sorted([(1, rows[0][1]), (2, ""), rows[2], rows[3], rows[4], rows[5], rows[6]], key=str)
+    assert [(s.doc_id, s.n_words, s.keep_doc_id) for s in repeats(df).collect()] == [(2, 90, 1)]
+
+
+def test_columns_of_any_name(spark):
+    r = random.Random(11)
+    p = " ".join(words(r, 90))
+    rows = [(k, p, "a", "b", "c", "d", "e", len(p)) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, __spans string, copy string, spans string, c1 string, n_chars int")
+    done = cut(df)
+    assert done.columns == df.columns and [f.dataType for f in done.schema.fields] == [f.dataType for f in df.schema.fields]
+    assert sorted(map(tuple, done.collect())) == [rows[0], (2, "", "a", "b", "c", "d", "e", 0)]
