@@ -13,17 +13,21 @@
    classes into coarse components. These hold every link, and nothing is emitted
    but a spanning forest.
 4. Within a coarse component, links are confirmed on the full sets: first each
-   member against the least one, which settles tight groups in linear time, then
-   what is left against the others in blocks of bounded size. Again only a
-   spanning forest is emitted, whose components are the result.
+   member against the least one and, where that does not do, against a few more,
+   which settles groups of near copies in linear time; then what is left against
+   the others in blocks of bounded size. Again only a spanning forest is emitted,
+   whose components are the result.
 
 MinHash is random: a pair of similarity exactly 0.8 shares no key with
 probability 2e-6, and is beyond the loose distance with less than 1e-6.
 
 Defined results: null or wordless texts have no shingles and are linked with
-nothing; rows without an id take no part (component_id null, kept); rows that
-repeat an id are one document: links of any of its texts count; empty tables
-give empty results; extra columns are not read.
+nothing; very long texts are read whole; rows without an id take no part
+(component_id null, kept); rows that repeat an id are one document: links of any of
+its texts count; equal texts are one class, of which the least id stays; empty
+tables give empty results; extra columns, whatever their names, are not read and
+are kept by `keep_first`. Sets are of 64-bit hashes of words and shingles, which are
+not cryptographic: texts made for the purpose could collide.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .columns import plain
 from .components import components
 from .storage import saved
 
@@ -234,7 +239,7 @@ def _set_rows(plan: Plan):
             for i, j, buf, off in K.chunks(b.column(2)):
                 sets, at = K.shingle_sets(buf, off, plan.width)
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(sets.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), data], names=["node", "coarse", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), data], names=["node", "grp", "data"])
 
     return run
 
@@ -243,20 +248,117 @@ def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * inter >= percent * (a + b - inter)
 
 
-def _starred(plan: Plan):
-    """Adds whether a member is linked with the least one of its coarse component."""
+Alike = Callable[[bytes, list[bytes]], np.ndarray]
+
+
+def alike_sets(percent: int) -> Alike:
+    """Which of some shingle sets are linked with one."""
+
+    def run(one: bytes, others: list[bytes]) -> np.ndarray:
+        p = np.frombuffer(one, np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in others]
+        size = np.array([len(q) for q in sets])
+        at = np.searchsorted(p, np.concatenate(sets))
+        same = (p[np.minimum(at, len(p) - 1)] == np.concatenate(sets)) if len(p) else np.zeros(size.sum(), bool)
+        total = np.r_[0, np.cumsum(same)]
+        end = np.cumsum(size)
+        return linked(total[end] - total[end - size], size, len(p), percent)
+
+    return run
+
+
+def alike_signatures(plan: Plan) -> Alike:
+    """Which of some signatures are within the loose distance of one."""
+
+    def run(one: bytes, others: list[bytes]) -> np.ndarray:
+        return (np.frombuffer(b"".join(others), np.uint16).reshape(len(others), -1) != np.frombuffer(one, np.uint16)).sum(axis=1) <= plan.loose
+
+    return run
+
+
+def _beside_leader(alike: Alike):
+    """(grp, node, data, lead) with whether the two are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                got.append(bool(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), plan.percent)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.bool_())], names=["node", "coarse", "near"])
+            near = [bool(alike(x, [y])[0]) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["grp", "node", "near"])
+
+    return run
+
+
+def _beside_pivots(alike: Alike):
+    """Rows (grp, salt, bit, node, data), sorted: the pivots of a group (bit >= 0), then members (bit -1), to (grp, node, mask of linked pivots, these)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bits, nodes, data = None, [], [], []
+        for b in K.slices(batches):
+            out = []
+            for group, salt, bit, node, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (group, salt) != key:
+                    key, bits, nodes, data = (group, salt), [], [], []
+                if bit >= 0:
+                    bits.append(bit)
+                    nodes.append(node)
+                    data.append(x)
+                else:
+                    hit = np.flatnonzero(alike(x, data))
+                    out.append((group, node, sum(1 << bits[k] for k in hit), [nodes[k] for k in hit if nodes[k] != node]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["grp", "node", "mask", "to"])
 
     return run
 
 
+def main_mask(counts: list[tuple[int, int]]) -> int:
+    """Of the pivots that are connected through members linked with several, those with the most members; counts: (mask, members)."""
+    parts: list[tuple[int, int]] = []
+    for mask, n in sorted(counts):
+        if mask:
+            apart = [p for p in parts if not p[0] & mask]
+            for m, k in parts:
+                if m & mask:
+                    mask, n = mask | m, n + k
+            parts = [*apart, (mask, n)]
+    return max(parts, key=lambda p: (p[1], -p[0]), default=(0, 0))[0]
+
+
+def _mains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_mask([(m["mask"], m["count"]) for m in x]) for x in b.column(1).to_pylist()], pa.int32())], names=["grp", "main"])
+
+
+def settled(members: DataFrame, alike: Alike, pivots: int = 8, share: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Links of members (grp, node, data) with a few of their group, and marks (grp, node, near): which are thereby known to be in one component.
+
+    All are compared with the least one; where some are not linked with it, all are
+    compared with up to `pivots` of those, too (one of each hash class, so that the
+    choice is pre-aggregated), in tasks of about `share` members. A group of near
+    copies is thereby settled but for a few, whichever is its least member. Groups
+    without marks, or whose marks are all near, are settled.
+    """
+    lead = saved(members.groupBy("grp").agg(F.min(F.struct("node", "data")).alias("lead")), "leaders")
+    others = members.join(lead.hint("merge"), "grp").where("node <> lead.node")
+    star = saved(others.select("grp", "node", "data", "lead.data").toDF("grp", "node", "data", "lead").mapInArrow(_beside_leader(alike), "grp long, node long, near boolean"), "star")
+    edges = star.where("near").join(lead.select("grp", F.col("lead.node").alias("b")).hint("merge"), "grp").select(F.col("node").alias("a"), "b")
+    star = star.groupBy("grp", "node").agg(F.max("near").alias("near"))
+    counts = star.groupBy("grp").agg((F.count("*") + 1).alias("n"), F.count_if(~F.col("near")).alias("open")).where("n > 2 and open > 0")
+    counts = saved(counts.select("grp", F.ceil(F.col("n") / share).cast("int").alias("salts")), "counts")
+    if not counts.count():
+        return edges, star.where("near")
+    chosen = star.where("not near").groupBy("grp", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("class")).agg(F.min(F.struct(F.xxhash64("node", F.lit(1)), "node")).alias("x"))
+    chosen = chosen.select("grp", (F.col("class") + 1).cast("int").alias("bit"), "x.node").hint("merge")
+    picked = members.join(chosen, ["grp", "node"]).groupBy("grp", "bit").agg(F.first("node").alias("node"), F.first("data").alias("data"))
+    picked = picked.unionByName(lead.select("grp", F.lit(0).alias("bit"), "lead.node", "lead.data")).join(counts.hint("merge"), "grp")
+    picked = picked.select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "bit", "node", "data")
+    dealt = members.join(counts.hint("merge"), "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(-1).alias("bit"), "node", "data")
+    rows = picked.unionByName(dealt).repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("bit").desc())
+    rows = saved(rows.mapInArrow(_beside_pivots(alike), "grp long, node long, mask int, to array<long>"), "pivots")
+    mains = rows.groupBy("grp", "mask").count().groupBy("grp").agg(F.collect_list(F.struct("mask", "count")).alias("masks")).mapInArrow(_mains, "grp long, main int")  # at most 2 ** (pivots + 1) masks
+    marks = rows.join(mains.hint("merge"), "grp").groupBy("grp", "node").agg(F.max(F.col("mask").bitwiseAND(F.col("main")) != 0).alias("near"))
+    return edges.union(rows.select(F.col("node").alias("a"), F.explode("to").alias("b"))), saved(marks, "marks")
+
+
 def _confirm(plan: Plan):
     """Forest of the confirmed links among the members of one piece."""
 
@@ -264,7 +366,7 @@ def _confirm(plan: Plan):
         node, data = [], []
         for b in batches:
             node += K.column(b, "node").to_pylist()
-            data += K.column(b, "shingles").to_pylist()
+            data += K.column(b, "data").to_pylist()
         size = np.array([len(x) // 8 for x in data], np.int64)
         flat = np.frombuffer(b"".join(data), np.uint64)
         at = np.r_[0, np.cumsum(size)]
@@ -300,51 +402,36 @@ def split_hot(nodes: DataFrame, keyed: Callable[[DataFrame], DataFrame], sample:
     return rows.join(hot, "key", "left_anti"), rows.join(hot, "key", "left_semi")
 
 
-def in_pieces(members: DataFrame, marks: DataFrame, group: str, block: int) -> DataFrame:
-    """Members of the groups with work left, placed in pieces (group, x, y) of at most about two blocks.
+def in_pieces(members: DataFrame, marks: DataFrame, block: int) -> DataFrame:
+    """Members of the groups with work left, placed in pieces (grp, x, y) of at most about two blocks.
 
-    `marks` says of each member but the leader whether it is linked with the leader
-    (near). Pairs of linked members need no look, so pieces pair each block of open
-    members with every block: linear for a tight group, whatever its size.
+    `marks` says of each member whether it is known to be in one component with the
+    others so marked (near). Pairs of those need no look, so pieces pair each block of
+    open members with every block: linear for a tight group, whatever its size.
     """
-    counts = marks.groupBy(group).agg((F.count("*") + 1).alias("n"), F.count_if(~F.col("near")).alias("open")).where("n > 2 and open > 0")
+    counts = marks.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("open")).where("open > 0")
     counts = saved(counts, "counts")  # Spark splits large groups only in a join of two exchanges
-    rest = marks.where("not near").select(group, "node", F.lit(True).alias("is_open")).distinct()
+    rest = marks.where("not near").select("grp", "node", F.lit(True).alias("is_open")).distinct()
     # by member first: the join by group is then the last one, which Spark may split where a group is large
-    placed = members.join(rest.hint("merge"), [group, "node"], "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-    placed = placed.join(counts.hint("merge"), group)
+    placed = members.join(rest.hint("merge"), ["grp", "node"], "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+    placed = placed.join(counts.hint("merge"), "grp")
     placed = placed.withColumns({"no": F.ceil(F.col("open") / block).cast("int"), "nc": F.ceil((F.col("n") - F.col("open")) / block).cast("int")})
     spot = F.pmod(F.xxhash64("node"), F.when(F.col("is_open"), F.col("no")).otherwise(F.col("nc"))).cast("int")
     placed = placed.withColumn("mine", F.when(F.col("is_open"), spot).otherwise(spot + F.col("no")))
     # a piece is (open block x, any block y) with x <= y; open members are in all pieces of their block
     opened = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("x"), F.greatest(x, F.col("mine")).alias("y")))
     linked_ = F.transform(F.sequence(F.lit(0), F.col("nc") - 1), lambda y: F.struct(F.col("mine").alias("x"), (y + F.col("no")).alias("y")))
-    keep = [c for c in members.columns if c != group]
+    keep = [c for c in members.columns if c != "grp"]
     # dealt by piece: the partitioning by group would do for Spark, and put all pieces of a group into one task
-    return placed.withColumn("p", F.explode(F.when(F.col("is_open"), F.concat(opened, linked_)).otherwise(opened))).select(group, "p.x", "p.y", *keep).repartition(group, "x", "y")
-
-
-def _beside_leader(plan: Plan):
-    """Adds whether a signature is within the loose distance of the leader's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = (_matrix(b.column(2), plan.symbols) != _matrix(b.column(3), plan.symbols)).sum(axis=1) <= plan.loose if b.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], names=["key", "node", "near"])
-
-    return run
+    return placed.withColumn("p", F.explode(F.when(F.col("is_open"), F.concat(opened, linked_)).otherwise(opened))).select("grp", "p.x", "p.y", *keep).repartition("grp", "x", "y")
 
 
 def _hot_keys(many: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
     """Coarse links within keys of more members than one piece holds."""
-    members = many.join(sigs, "node").select("key", "node", "sig")
-    members = saved(members, "hot")
-    leader = saved(members.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("lead")), "leaders")
-    others = members.join(leader.hint("merge"), "key").where("node <> lead.node")
-    marks = saved(others.select("key", "node", "sig", F.col("lead.sig").alias("lead")).mapInArrow(_beside_leader(plan), "key long, node long, near boolean"), "hot")
-    star = marks.where("near").join(leader.select("key", "lead.node").withColumnRenamed("node", "b").hint("merge"), "key").select(F.col("node").alias("a"), "b")
-    lists = in_pieces(members, marks, "key", plan.bucket).groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "sig")).alias("members"))
-    return star.union(lists.select("members").mapInArrow(_coarse(plan), "a long, b long"))
+    members = saved(many.join(sigs, "node").select(F.col("key").alias("grp"), "node", F.col("sig").alias("data")), "hot")
+    edges, marks = settled(members, alike_signatures(plan))
+    lists = in_pieces(members, marks, plan.bucket).groupBy("grp", "x", "y").agg(F.collect_list(F.struct("node", F.col("data").alias("sig"))).alias("members"))
+    return edges.union(lists.select("members").mapInArrow(_coarse(plan), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,14 +458,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
 
     coarse = saved(coarse.select("node", F.col("component").alias("coarse")), "coarse")
     texts = src.join(coarse.hint("merge"), src["doc_id"] == coarse["node"]).select("node", "coarse", "text")
-    sets = saved(texts.mapInArrow(_set_rows(plan), "node long, coarse long, shingles binary"), "sets")
-    least = sets.where("node = coarse").select("coarse", F.col("shingles").alias("lead"))
-    star = sets.where("node <> coarse").join(least.hint("merge"), "coarse").select("node", "coarse", "shingles", "lead").mapInArrow(_starred(plan), "node long, coarse long, near boolean")
-    star = saved(star, "star")
-    marks = star.groupBy("coarse", "node").agg(F.max("near").alias("near"))
-    pieces = in_pieces(sets, marks, "coarse", plan.block)
-    found = pieces.groupBy("coarse", "x", "y").applyInArrow(_confirm(plan), "a long, b long")
-    links = star.where("near").select(F.col("node").alias("a"), F.col("coarse").alias("b")).union(found)
+    sets = saved(texts.mapInArrow(_set_rows(plan), "node long, grp long, data binary"), "sets")
+    links, marks = settled(sets, alike_sets(plan.percent))
+    pieces = in_pieces(sets, marks, plan.block)
+    links = links.union(pieces.groupBy("grp", "x", "y").applyInArrow(_confirm(plan), "a long, b long"))
     final = components(links)
 
     ids = classes.join(final, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -390,5 +473,6 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
 
 def keep_first(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the least id of each group, all columns unchanged; rows without an id stay."""
-    gone = near_duplicates(docs, plan, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    rows, (i, t) = plain(docs, id_col, text_col)
+    gone = near_duplicates(rows, plan, i, t).where("not kept").select(F.col("doc_id").alias("gone"))
+    return rows.join(gone, F.col(i).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -5,8 +5,9 @@
 2. A class has `bands` MinHash values of its five-word shingles, each a band of
    its own: a pair of similarity 0.8 collides with probability 1 - 0.2 ** bands,
    0.992 for three. Colliding classes are verified by exact Jaccard on their
-   full shingle sets, in pieces of bounded size; keys beyond one piece are first
-   compared with their leader, which settles tight groups in linear time.
+   full shingle sets, in pieces of bounded size; the members of keys beyond one
+   piece are first compared with a few of them, which settles groups of near copies
+   in linear time.
 3. Verified classes are clustered by connected components; of each cluster only
    the first occurrence (least document, then place) stays.
 4. For passages inside lines, 1 to 3 are done once more with smaller units in
@@ -51,7 +52,7 @@ from pyspark.sql.types import StringType, StructField
 from . import kernels as K
 from .columns import fields, plain, with_text
 from .components import components
-from .near_dedup import _runs, _starred, in_pieces, linked, split_hot, spread
+from .near_dedup import _runs, alike_sets, in_pieces, linked, settled, split_hot, spread
 from .storage import saved
 
 _U = np.uint64
@@ -276,14 +277,10 @@ def _verify(plan: Plan):
 
 
 def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Verified pairs within keys of more members than one piece holds: with the leader, then in blocks."""
-    members = saved(many.join(sets, "node").select("key", "node", "shingles"), "hot")
-    leader = saved(members.groupBy("key").agg(F.min(F.struct("node", "shingles")).alias("lead")), "leaders")
-    others = members.join(leader.hint("merge"), "key").where("node <> lead.node")
-    star = saved(others.select("node", F.col("key").alias("coarse"), "shingles", F.col("lead.shingles").alias("lead")).mapInArrow(_starred(plan), "node long, coarse long, near boolean").withColumnRenamed("coarse", "key"), "hot")
-    edges = star.where("near").join(leader.select("key", "lead.node").withColumnRenamed("node", "b").hint("merge"), "key").select(F.col("node").alias("a"), "b")
-    marks = star.groupBy("key", "node").agg(F.max("near").alias("near"))
-    lists = in_pieces(members, marks, "key", plan.piece).groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    """Verified pairs within keys of more members than one piece holds: with a few of them, then in blocks."""
+    members = saved(many.join(sets, "node").select(F.col("key").alias("grp"), "node", F.col("shingles").alias("data")), "hot")
+    edges, marks = settled(members, alike_sets(plan.percent))
+    lists = in_pieces(members, marks, plan.piece).groupBy("grp", "x", "y").agg(F.collect_list(F.struct("node", F.col("data").alias("shingles"))).alias("members"))
     return edges.union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
 
 
@@ -367,7 +364,7 @@ def _sides(plan: Plan):
                         if not own and len(pick):  # what goes itself is no reason to go
                             pick = pick[: int(np.argmax(np.r_[total[pick + 1] != total[pick], True]))]
                         where = (points[w.start[pick]] if x["back"] else points[w.end[pick]]) - base if own else pick[:0]
-                        out.append((ids[k], copies[k], x["at"], x["back"], w.hash[pick].tobytes(), where.astype(np.int64).tobytes(), x["like"], x["room"]))
+                        out.append((ids[k], copies[k], x["at"], x["back"], w.hash[pick].tobytes(), where.astype(np.int32).tobytes(), x["like"], x["room"]))
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.struct([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32())]), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "copy", "at", "back", "words", "points", "like", "room"])
@@ -385,7 +382,7 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = min(len(p), len(q), room)
             k = int(np.argmax(np.r_[p[:n] != q[:n], True]))
             many.append(k)
-            where.append(int(np.frombuffer(points, np.int64)[k - 1]) if k else 0)
+            where.append(int(np.frombuffer(points, np.int32)[k - 1]) if k else 0)
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(many, pa.int32()), pa.array(where, pa.int64())], names=["doc_id", "copy", "at", "back", "many", "where"])
 
 
@@ -402,12 +399,13 @@ def _extended(src: DataFrame, gone: DataFrame, plan: Plan, skips: DataFrame | No
     mine = left.union(right)
     theirs = mine.select("like.*", "back").distinct().select("doc_id", "copy", "at", "back", F.lit(None).cast("struct<doc_id:long,copy:long,at:int>").alias("like"), F.lit(whole).alias("room"))
     asked = mine.union(theirs).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "back", "like", "room")).alias("asked"))
+    asked = asked.withColumn("skip", F.lit(None).cast("array<struct<begin:int,stop:int>>")) if skips is None else asked.join(skips.hint("merge"), ["doc_id", "copy"], "left")
     texts = src.join(asked.hint("merge"), ["doc_id", "copy"])
-    texts = texts.withColumn("skip", F.lit(None).cast("array<struct<begin:int,stop:int>>")) if skips is None else texts.join(skips.hint("merge"), ["doc_id", "copy"], "left")
     sides = saved(texts.select("doc_id", "copy", "text", "skip", "asked").mapInArrow(_sides(plan), _SIDE), "sides")
     stay = sides.where("like is null").select(F.struct("doc_id", "copy", "at").alias("like"), "back", F.col("words").alias("theirs"))
     both = sides.where("like is not null and length(words) > 0").join(stay.where("length(theirs) > 0").hint("merge"), ["like", "back"])
     found = both.select("doc_id", "copy", "at", "back", "words", "theirs", "points", "room").mapInArrow(_longer, "doc_id long, copy long, at int, back boolean, many int, where long").where("many > 0")
+    found = saved(found, "longer")
     more_left = runs.join(found.where("back").withColumnRenamed("at", "begin"), ["doc_id", "copy", "begin"])
     more_left = more_left.select("doc_id", "copy", F.col("where").alias("start"), F.col("start").alias("end"), (F.col("begin") - F.col("many")).alias("begin"), F.col("begin").alias("stop"), "keep", "tail", "component")
     more_right = runs.join(found.where("not back").withColumnRenamed("at", "stop"), ["doc_id", "copy", "stop"])

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from stratum.llm.components import components
-from stratum.llm.near_dedup import Plan, keep_first, near_duplicates
+from stratum.llm.components import components, forest
+from stratum.llm.near_dedup import Plan, _confirm, alike_sets, in_pieces, keep_first, main_mask, near_duplicates, settled
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -102,3 +103,48 @@ def test_components(spark, small):
             parent[x] = min([parent[x], *(parent[y] for y in near)])
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), small).collect()}
     assert got == {x: p for x, p in parent.items() if want[x] != {x}}
+
+
+def test_a_large_group_whose_least_member_is_unlike_it(spark):
+    """Few are left for the comparison in blocks, and the links are those of all pairs."""
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    sets = []
+    for _ in range(400):  # near copies, of which the first two lie far out
+        v = list(base)
+        for k in r.sample(range(60), 8 if len(sets) < 2 else r.randrange(0, 2)):
+            v[k] = f"x{r.random()}"
+        sets.append(sorted({hash(tuple(v[k : k + 3])) % 2**63 for k in range(58)}))
+    sets += [sorted(r.sample(range(10**9), 50)) for _ in range(30)]  # unlike all others
+    rows = [(5, k, np.array(s, np.uint64).tobytes()) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "grp long, node long, data binary").repartition(4)
+    edges, marks = settled(members, alike_sets(80), share=100)
+    edges = {tuple(e) for e in edges.collect()}
+    like = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+    assert all(a != b and like(a, b) for a, b in edges)
+    parent = forest(iter(edges))
+    marks = {m.node: m.near for m in marks.collect()}
+    assert len(marks) == 430 and len({parent[k] for k, near in marks.items() if near}) == 1
+    want = forest((a, b) for a in range(430) for b in range(a) if like(a, b))
+    assert sum(not near for near in marks.values()) <= 60
+    plan = Plan(block=32)
+    rest = in_pieces(members, spark.createDataFrame(list(marks.items()), "node long, near boolean").selectExpr("5L grp", "node", "near"), plan.block)
+    found = rest.groupBy("grp", "x", "y").applyInArrow(_confirm(plan), "a long, b long").collect()
+    assert forest(iter(edges | {tuple(e) for e in found})) == want
+    assert main_mask([(1, 1), (2, 1), (6, 1), (12, 1), (0, 9)]) == 14 and main_mask([(3, 1), (6, 1), (12, 1), (0, 9), (16, 2)]) == 15 and main_mask([(0, 5)]) == 0
+
+
+def test_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text, "a", "b", "c"), (None, text, "a", "b", "c")], "doc_id long, text string, `a.b` string, __gone string, gone string")
+    done = keep_first(d)
+    assert done.columns == d.columns and sorted(map(tuple, done.collect()), key=str) == [(1, text, "a", "b", "c"), (None, text, "a", "b", "c")]
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(13)
+    v = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    x = list(v)
+    x[1000:1100] = ["other"] * 100
+    d = spark.createDataFrame([(1, " ".join(v)), (2, " ".join(x)), (3, " ".join(v[:150_000]))], "doc_id long, text string")
+    assert {(g.doc_id, g.component_id) for g in near_duplicates(d).collect()} == {(1, 1), (2, 1), (3, 3)}
