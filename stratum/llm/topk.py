@@ -163,7 +163,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     """
     lanes = lanes or max(LEAST_LANES, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
-    asked = pick(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))  # of rows that repeat an id, an unusable one is no query
+    asked = pick(queries).where(sound).groupBy("id").agg(F.min("vector").alias("vector"))
     many = max(1, -(-asked.count() // query_block))
     asked = asked.repartition(many, F.xxhash64("id")).select("id", "vector").mapInArrow(_blocks(scale, query_block), _BLOCK)
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), *(F.col(n).alias(f"q_{n}") for n in _NAMES))

@@ -42,3 +42,9 @@ def test_edges(spark):
     same = spark.createDataFrame([(i, [1.0, 1.0], 0, 0) for i in range(3000)], schema).repartition(5)
     got = top_k(same, same.where(F.col("vec_id") == 2)).collect()
     assert [(g.rank, g.vec_id) for g in sorted(got, key=lambda g: g.rank)] == [(1, 0), (2, 1), (3, 3), (4, 4), (5, 5)]
+
+
+def test_an_unusable_row_does_not_remove_a_query_of_its_id(spark):
+    rows = [(0, [1.0, 2.0]), (0, [None, 1.0]), (0, [float("nan"), 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("inf"), 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(d, d.where("vec_id = 0")).collect())) == [(0, 1, 2, 131072), (0, 2, 1, 65536)]
