@@ -11,10 +11,13 @@ driver by gradient descent on a bounded sample of rated texts (`sample` rows, th
 of the least hashes of their ids, 4,000 by default); scoring is one narrow pass
 over all texts.
 
-Defined results: a null text is empty and is scored by its shape alone; ratings
-that are null, or of no text, are left out; rows that repeat, or have a null id,
-are each scored; an empty table gives an empty result; without any ratings the
-model gives every grade the same chance; extra columns are not read.
+Defined results: a null text is empty and is scored by its shape alone; very long
+texts are read whole; ratings that are null, or of no text, are left out; rows that
+repeat, or have a null id, are each scored, and where ids repeat among rated texts
+those of the least hashes make the sample; a chance equal to the threshold keeps; an
+empty table gives an empty result; without any ratings the model gives every grade
+the same chance; a grade beyond those seen in training has no chance; extra
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -148,8 +151,10 @@ def fit(docs: DataFrame, ratings: DataFrame, settings: Settings = Settings(), id
     rated = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("long").alias("grade")).where("id is not null and grade >= 0")
     rated = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(settings.sample)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = src.join(F.broadcast(rated), "id").select("grade", "text").where("text is not null")  # at most `sample` rows of two numbers
-    got = rows.limit(settings.sample).mapInArrow(run, "grade long, feature binary, value binary").toArrow()  # some 10 KB a text
+    rows = src.join(F.broadcast(rated), "id").where("text is not null")  # at most `sample` rows of two numbers
+    # ids may repeat: of more rows than the sample those of the least hashes count, whatever the partitioning
+    rows = rows.orderBy(F.xxhash64("id"), "id", "grade", F.xxhash64("text")).limit(settings.sample).select("grade", "text")
+    got = rows.mapInArrow(run, "grade long, feature binary, value binary").toArrow()  # some 10 KB a text
     grade = got.column("grade").to_numpy().astype(np.int64)
     size = np.array([len(x) // 4 for x in got.column("feature").to_pylist()], np.int64)
     text = np.repeat(np.arange(len(grade), dtype=np.int32), size)
@@ -169,7 +174,7 @@ def score(docs: DataFrame, model: Model, tail: int = 2, least: float = 0.7, id_c
                 text, feature, value = features(buf, off, model.bits)
                 z = np.bincount(text, weights=model.weight[feature] * value, minlength=j - i)
                 p = model.chances(z)
-                good = p[:, min(tail, p.shape[1]) - 1]
+                good = p[:, tail - 1] if tail <= p.shape[1] else np.zeros(len(p))  # no such grade was seen
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.round(p.sum(axis=1), 6)), pa.array(np.round(good, 6)), pa.array(good >= least)], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
