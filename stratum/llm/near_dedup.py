@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .columns import plain
 from .components import components
-from .storage import saved
+from .storage import mark, saved
 
 
 @dataclass(frozen=True)
@@ -441,6 +441,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     known = sketch.where("doc_id is not null and n_shingles > 0")
     classes = saved(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
 
+    begun = mark(docs.sparkSession)
     keyed = lambda df: df.select("node", "sig").mapInArrow(_keyed(plan), "key long, node long")
     rows, hot = split_hot(classes, keyed, plan.hot_sample, plan.hot_least)
     lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(plan.bucket), "key long, part int, nodes array<long>")
@@ -462,7 +463,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     links, marks = settled(sets, alike_sets(plan.percent))
     pieces = in_pieces(sets, marks, plan.block)
     links = links.union(pieces.groupBy("grp", "x", "y").applyInArrow(_confirm(plan), "a long, b long"))
-    final = components(links)
+    final = saved(components(links), "links", since=begun)
 
     ids = classes.join(final, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component"))
     slim = sketch.select("doc_id", "n_shingles", "f1", "f2")

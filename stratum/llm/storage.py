@@ -19,14 +19,36 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: computed once, pruned by column later, safe from lost executors."""
+def mark(spark: SparkSession) -> int:
+    """How many tables have been saved; see `saved`."""
+    return len(getattr(spark.sparkContext, "_stratum_saved", []))
+
+
+def saved(df: DataFrame, name: str, since: int | None = None, keep: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: computed once, pruned by column later, safe from lost executors.
+
+    since: the tables saved after this mark only served this one, and are deleted
+    once it is written, but for those in `keep`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    made = spark.sparkContext
-    made._stratum_saved = [*getattr(made, "_stratum_saved", []), path]
-    return spark.read.schema(df.schema).parquet(path)
+    sc = spark.sparkContext
+    paths = getattr(sc, "_stratum_saved", [])
+    if since is not None:
+        stay = {k._stratum_path for k in keep}
+        _delete(sc, [x for x in paths[since:] if x not in stay])
+        paths = [*paths[:since], *(x for x in paths[since:] if x in stay)]
+    sc._stratum_saved = [*paths, path]
+    done = spark.read.schema(df.schema).parquet(path)
+    done._stratum_path = path
+    return done
+
+
+def _delete(sc, paths: list[str]) -> None:
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clean(spark: SparkSession) -> int:
@@ -34,7 +56,5 @@ def clean(spark: SparkSession) -> int:
     sc = spark.sparkContext
     paths = getattr(sc, "_stratum_saved", [])
     sc._stratum_saved = []
-    for path in paths:
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(sc, paths)
     return len(paths)

@@ -53,7 +53,7 @@ from . import kernels as K
 from .columns import fields, plain, with_text
 from .components import components
 from .near_dedup import _runs, alike_sets, in_pieces, linked, settled, split_hot, spread
-from .storage import saved
+from .storage import mark, saved
 
 _U = np.uint64
 
@@ -286,6 +286,7 @@ def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = None) -> DataFrame:
     """The units to remove, where each stands and what stays (keep: of its first unit, tail: of its last); those that touch `skips` are not counted."""
+    begun = mark(src.sparkSession)
     bands = [f"k{n}" for n in range(plan.bands)]
     counted = src if skips is None else src.join(skips.hint("merge"), ["doc_id", "copy"], "left").select("doc_id", "copy", "text", "skip")
     schema = "f1 long, f2 int, doc_id long, copy long, begin int, stop int, "
@@ -295,6 +296,7 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = Non
     classes = saved(classes.select("*", F.monotonically_increasing_id().alias("node")), "paragraphs")
 
     by_band = lambda df: df.select("node", F.explode(F.array(*bands)).alias("key")).select("key", "node")
+    keyed_from = mark(src.sparkSession)
     keyed, hot = split_hot(classes, by_band, plan.hot_sample, plan.hot_least)
     lists = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(plan.piece), "key long, part int, nodes array<long>"), "collisions")
     large = lists.where("part > 0").select("key").distinct()  # keys beyond one piece
@@ -309,11 +311,11 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = Non
     sets = saved(src.join(wanted.hint("merge"), ["doc_id", "copy"]).select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
     full = members.join(sets, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
-    same = components(found.union(_hot_keys(many, sets, plan)))
+    same = saved(components(found.union(_hot_keys(many, sets, plan))), "same", since=keyed_from, keep=(hit,))
 
     near = hit.join(same, "node")
     exact = classes.where("n > 1").select("node", "first", "f1", "f2").join(same.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    cluster = saved(exact.unionByName(near).dropDuplicates(["node"]), "clusters")
+    cluster = saved(exact.unionByName(near).dropDuplicates(["node"]), "clusters", since=begun)
     keep = cluster.groupBy("component").agg(F.min("first").alias("keep"))
     known = cluster.join(keep, "component").select("f1", "f2", "keep")
     placed = src.mapInArrow(_units(plan, True, whole), schema + "start long, end long")
@@ -386,9 +388,10 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(many, pa.int32()), pa.array(where, pa.int64())], names=["doc_id", "copy", "at", "back", "many", "where"])
 
 
-def _extended(src: DataFrame, gone: DataFrame, plan: Plan, skips: DataFrame | None) -> DataFrame:
-    """The removed ranges, and what their runs go on alike with what stays."""
-    runs = saved(_spans(gone, 1), "runs")
+def _extended(src: DataFrame, gone: DataFrame, plan: Plan, skips: DataFrame | None, begun: int) -> DataFrame:
+    """The removed ranges (whose tables were saved since `begun`), and what their runs go on alike with what stays."""
+    runs = saved(_spans(gone, 1), "runs", since=begun)
+    asked_from = mark(src.sparkSession)
     whole = 2**31 - 1
     own = F.col("keep.doc_id") == F.col("doc_id")
     own = own & (F.col("keep.copy") == F.col("copy")) & (F.col("keep.stop") <= F.col("begin"))
@@ -405,7 +408,7 @@ def _extended(src: DataFrame, gone: DataFrame, plan: Plan, skips: DataFrame | No
     stay = sides.where("like is null").select(F.struct("doc_id", "copy", "at").alias("like"), "back", F.col("words").alias("theirs"))
     both = sides.where("like is not null and length(words) > 0").join(stay.where("length(theirs) > 0").hint("merge"), ["like", "back"])
     found = both.select("doc_id", "copy", "at", "back", "words", "theirs", "points", "room").mapInArrow(_longer, "doc_id long, copy long, at int, back boolean, many int, where long").where("many > 0")
-    found = saved(found, "longer")
+    found = saved(found, "longer", since=asked_from)
     more_left = runs.join(found.where("back").withColumnRenamed("at", "begin"), ["doc_id", "copy", "begin"])
     more_left = more_left.select("doc_id", "copy", F.col("where").alias("start"), F.col("start").alias("end"), (F.col("begin") - F.col("many")).alias("begin"), F.col("begin").alias("stop"), "keep", "tail", "component")
     more_right = runs.join(found.where("not back").withColumnRenamed("at", "stop"), ["doc_id", "copy", "stop"])
@@ -430,15 +433,16 @@ def _repeats(keyed: DataFrame, repeated: bool, plan: Plan) -> DataFrame:
     src = keyed.where("doc_id is not null").select("doc_id", "copy", "text")
     if repeated:  # equal rows are one document
         src = saved(src.dropDuplicates(["doc_id", "copy"]), "documents")
-    skips = None
+    skips, begun = None, mark(src.sparkSession)
     if plan.paragraphs:
-        first = saved(_spans(_gone(src, plan, True), plan.min_words), "lines")
+        first = saved(_spans(_gone(src, plan, True), plan.min_words), "lines", since=begun)
         skips = saved(first.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("begin", "stop")).alias("skip")), "skips")
+        begun = mark(src.sparkSession)
         gone = _gone(src, plan, False, skips).unionByName(first)
     else:
         gone = _gone(src, plan, False)
     if plan.extend:
-        gone = _extended(src, gone, plan, skips)
+        gone = _extended(src, gone, plan, skips, begun)
     return _spans(gone, plan.min_words)
 
 
