@@ -32,13 +32,14 @@ def select(vector: ValVec, low: int | None, high: int | None, within: PosVec | N
 
 
 def align(frame: Frame, vector: ValVec) -> ValVec:
-    """A vector of another frame, zipped to this one by place; lengths must agree."""
+    """A vector of another frame, zipped to this one by place; lengths must agree. It is over `frame.own()`."""
     mine, n = dense(frame)
     theirs, m = dense(vector.frame)
     if n != m:
         raise StatementError("Vectors must have the same length.")
     name = f"z{next(_numbers)}"
     other = theirs.select(F.col("__n"), vector.column.alias(name))
+    frame = frame.own()
     frame.extend(name, mine.join(other, "__n").drop("__n"))
     return ValVec(frame, F.col(name), frozenset([name]))
 
@@ -86,6 +87,7 @@ def arithmetic(kind: str, a: ValVec, b: ValVec) -> ValVec:
     """Element-wise a + b or a - b in 32 bits."""
     if a.frame is not b.frame:
         b = align(a.frame, b)
+        a = ValVec(b.frame, a.column, a.uses)
     make = int32.add if kind == "add" else int32.sub
     return ValVec(a.frame, make(a.column, b.column), a.uses | b.uses)
 

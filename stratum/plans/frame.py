@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import FAILURES, message
 from ..functions import int32
 
 _numbers = itertools.count()
@@ -46,6 +47,7 @@ class Frame:
     tag: tuple[Frame, str, int] | None = None  # (shared frame, column of the query number, number)
     length: int | None = None
     indexes: dict[str, DataFrame] = field(default_factory=dict)  # column -> its sorted projection
+    shared: bool = False  # a table's own frame, which all handles over the table start from
 
     def filter(self, condition: Column | None, uses: frozenset[str] = frozenset()) -> Frame:
         if condition is None:
@@ -66,9 +68,13 @@ class Frame:
             return self.covering[1]
         return self.df
 
+    def own(self) -> Frame:
+        """This frame, or for a table's own one the same rows as a frame that may be extended."""
+        return Frame(self.df, self.sources, self.order, length=self.length) if self.shared else self
+
     def extend(self, name: str, df: DataFrame) -> None:
-        """The same rows with another column."""
-        self.df, self.covering = df, None
+        """The same rows with another column, which no frame shared with others has."""
+        self.df, self.covering, self.tag = df, None, None
 
 
 @dataclass(eq=False)
@@ -93,6 +99,8 @@ class NumVal:
     column: Column
     uses: frozenset[str]
     value: int | float | None = field(default=None)
+    single: bool = False
+    error: str | None = None
 
 
 def base_frame(table: str, version: int, df: DataFrame, rows: int | None = None, bare: DataFrame | None = None) -> Frame:
@@ -103,7 +111,7 @@ def base_frame(table: str, version: int, df: DataFrame, rows: int | None = None,
     covering = None
     if bare is not None:
         covering = frozenset(prefix + c for c in bare.columns), bare.select(*(F.col(f"`{c}`").alias(prefix + c) for c in bare.columns))
-    return Frame(renamed, [source], [source.pos], length=rows, covering=covering)
+    return Frame(renamed, [source], [source.pos], length=rows, covering=covering, shared=True)
 
 
 def renamed(frame: Frame) -> tuple[Frame, dict[str, str]]:
@@ -132,31 +140,39 @@ def dense(frame: Frame) -> tuple[DataFrame, int]:
     return df.withColumn("__n", F.element_at(starts, F.col("__p") + 1) + F.col("__r")).drop("__p", "__r"), at
 
 
-def evaluate(values: list[NumVal], single: bool = False) -> None:
-    """Compute numeric values: one job for all of a frame, and for all frames of one batch."""
-    todo = [v for v in values if v.value is None]
-    groups: dict[int, list[NumVal]] = {}
+def evaluate(values: list[NumVal]) -> None:
+    """Compute numeric values: one job for all of a frame, and for all frames of one batch. A job that fails gives its values an error."""
+    todo = [v for v in values if v.value is None and v.error is None]
+    groups: dict[tuple[int, bool], list[NumVal]] = {}
     for v in todo:
-        groups.setdefault(id(v.frame.tag[0] if v.frame.tag else v.frame), []).append(v)
-    for vs in groups.values():
-        exprs: dict[tuple[str, str], str] = {}
+        groups.setdefault((id(v.frame.tag[0] if v.frame.tag else v.frame), v.single), []).append(v)
+    for (_, single), vs in groups.items():
+        try:
+            _evaluate(vs, single)
+        except FAILURES as e:
+            for v in vs:
+                v.error = message(e)
+
+
+def _evaluate(vs: list[NumVal], single: bool) -> None:
+    exprs: dict[tuple[str, str], str] = {}
+    for v in vs:
+        exprs.setdefault((v.kind, v.column._jc.toString()), f"a{len(exprs)}")
+    made = {}
+    for v in vs:
+        name = exprs[v.kind, v.column._jc.toString()]
+        made.setdefault(name, int32.aggregate(v.kind, v.column).alias(name))
+    if vs[0].frame.tag:
+        shared, tag, _ = vs[0].frame.tag
+        rows = {r[tag]: r for r in _narrow(shared.df, single).groupBy(tag).agg(*made.values()).collect()}
         for v in vs:
-            exprs.setdefault((v.kind, v.column._jc.toString()), f"a{len(exprs)}")
-        made = {}
+            row = rows.get(v.frame.tag[2])
+            v.value = row[exprs[v.kind, v.column._jc.toString()]] if row else {"min": int32.INT_MAX, "max": int32.INT_MIN, "sum": 0, "avg": 0.0}[v.kind]
+    else:
+        df = vs[0].frame.over(frozenset().union(*(v.uses for v in vs)))
+        row = _narrow(df, single).agg(*made.values()).first()
         for v in vs:
-            name = exprs[v.kind, v.column._jc.toString()]
-            made.setdefault(name, int32.aggregate(v.kind, v.column).alias(name))
-        if vs[0].frame.tag:
-            shared, tag, _ = vs[0].frame.tag
-            rows = {r[tag]: r for r in _narrow(shared.df, single).groupBy(tag).agg(*made.values()).collect()}
-            for v in vs:
-                row = rows.get(v.frame.tag[2])
-                v.value = row[exprs[v.kind, v.column._jc.toString()]] if row else {"min": int32.INT_MAX, "max": int32.INT_MIN, "sum": 0, "avg": 0.0}[v.kind]
-        else:
-            df = vs[0].frame.over(frozenset().union(*(v.uses for v in vs)))
-            row = _narrow(df, single).agg(*made.values()).first()
-            for v in vs:
-                v.value = row[exprs[v.kind, v.column._jc.toString()]]
+            v.value = row[exprs[v.kind, v.column._jc.toString()]]
 
 
 def _narrow(df: DataFrame, single: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import StatementError
+from ..errors import FAILURES, StatementError, message
 from ..operators import dml, vectors
 from ..operators.batch import Batch
 from ..sources import storage
@@ -21,7 +21,8 @@ MOST_PRINTED = 64
 class Session:
     """One client. Handles stay symbolic; only printing and data changes run jobs.
 
-    `run` answers one statement with its lines of output. `script` runs many and
+    `run` answers one statement with its lines of output; whatever fails, also in a job,
+    is a line. `script` runs many and
     evaluates all numbers that they print together, one job per frame or batch.
     """
 
@@ -93,11 +94,17 @@ class Session:
                     pending += self._run(s)
             except StatementError as e:
                 pending.append(str(e))
+            except FAILURES as e:  # the statement failed, the session goes on
+                pending.append(message(e))
             if self.closed:
                 break
-        evaluate([v for p in pending if isinstance(p, list) for v in p], self.single)
+        evaluate([v for p in pending if isinstance(p, list) for v in p])
         for p in pending:
-            yield ",".join(_format(v) for v in p) if isinstance(p, list) else p
+            if isinstance(p, list):
+                errors = [v.error for v in p if v.error is not None]
+                yield errors[0] if errors else ",".join(_format(v) for v in p)
+            else:
+                yield p
 
     def _run(self, s: dsl.Statement) -> list[str | list[NumVal]]:
         if self.batch is not None and s.command not in ("select", "min", "max", "sum", "avg", "batch_queries", "batch_execute", "shutdown"):
@@ -198,6 +205,7 @@ class Session:
             self.batch.add_aggregate(handle, s.command, vector)
         elif handle:
             self.numbers[handle] = vectors.aggregate(s.command, vector)
+            self.numbers[handle].single = self.single
 
     _do_min = _do_max = _do_sum = _do_avg = _aggregate
 
@@ -228,11 +236,16 @@ class Session:
         """Value vectors as columns v0, v1, ... of a DataFrame."""
         found = [self.value(n) for n in names]
         frame = found[0].frame
-        found = [v if v.frame is frame else vectors.align(frame, v) for v in found]
+        for i, v in enumerate(found):
+            if v.frame is not frame:
+                found[i] = vectors.align(frame, v)
+                frame = found[i].frame
         uses = frozenset().union(*(v.uses for v in found), frame.order if ordered else ())
         df = frame.over(uses)
+        if self.single:
+            df = df.coalesce(1)
         if ordered:
-            df = df.orderBy(*frame.order)
+            df = df.sortWithinPartitions(*frame.order) if self.single else df.orderBy(*frame.order)
         return df.select(*(v.column.cast("int").alias(f"v{i}") for i, v in enumerate(found)))
 
     def position_rows(self, *names: str) -> DataFrame:
@@ -276,6 +289,8 @@ class Session:
         found, numbers = batch.run()
         self.positions |= found
         self.numbers |= numbers
+        for v in numbers.values():
+            v.single = self.single
 
     def _do_single_core(self, s: dsl.Statement) -> None:
         if self.single:

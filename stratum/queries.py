@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import int32
-from .plans.frame import NumVal
+from .plans.frame import NumVal, evaluate
 from .plans.session import Session
 from .sources import storage
 from .sources.catalog import Catalog
@@ -215,6 +215,24 @@ def print_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
+def batch_fetch_cross(spark: SparkSession, sf: str) -> DataFrame:
+    """A handle of a batch used after it: positions of one table fetch from another, beside aggregates that share the scan."""
+    s = do(session(spark, sf, "customer", "supplier"), """
+        batch_queries()
+        p0=select(d.supplier.s_nationkey,0,12)
+        p1=select(d.supplier.s_nationkey,12,null)
+        batch_execute()
+        f0=fetch(d.customer.c_nationkey,p0)
+        x=sum(f0)
+        g1=fetch(d.supplier.s_suppkey,p1)
+        y=max(g1)
+        g0=fetch(d.supplier.s_suppkey,p0)
+        z=sum(g0)
+    """)
+    evaluate([s.numbers[n] for n in "xyz"])
+    return spark.createDataFrame([tuple(s.numbers[n].value for n in "xyz")], "x long, y int, z long")
+
+
 def _agg(kind: str) -> str:
     return f"p=select(d.lineitem.l_suppkey,10,20)\nf=fetch(d.lineitem.l_partkey,p)\nx={kind}(f)"
 
@@ -257,6 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "print_values": print_values,
     "restart": restart,
     "print_numbers": print_numbers,
+    "batch_fetch_cross": batch_fetch_cross,
 }
 
 _JOINED = "SELECT CAST(sum(o_orderkey) AS BIGINT) AS s, CAST(sum(c_nationkey) AS DOUBLE) / count(*) AS a FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < {} AND c_custkey < {}"
@@ -267,6 +286,14 @@ _UNCLUSTERED = "SELECT CAST(l_partkey AS INTEGER) AS v FROM lineitem WHERE l_sup
 _ORDERS = "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey FROM orders"
 
 ORACLES: dict[str, str] = {
+    "print_numbers": """
+        SELECT unnest([printf('%.2f', CAST(sum(l_linenumber) AS DOUBLE) / count(*)) || ',' || CAST(min(l_partkey) AS VARCHAR), CAST(min(l_partkey) AS VARCHAR)]) AS line FROM lineitem""",
+    "batch_fetch_cross": """
+        WITH s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier),
+        c AS (SELECT c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)
+        SELECT (SELECT CAST(sum(c_nationkey) AS BIGINT) FROM s JOIN c USING (pos) WHERE s_nationkey < 12) AS x,
+            (SELECT CAST(max(s_suppkey) AS INTEGER) FROM s WHERE s_nationkey >= 12) AS y,
+            (SELECT CAST(sum(s_suppkey) AS BIGINT) FROM s WHERE s_nationkey < 12) AS z""",
     "select_range": "SELECT o_orderkey AS pos FROM orders WHERE o_custkey >= 100 AND o_custkey < 200",
     "select_open_low": "SELECT o_orderkey AS pos FROM orders WHERE o_custkey < 50",
     "select_open_high": "SELECT o_orderkey AS pos FROM orders WHERE o_custkey >= 1450",
