@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm import near_dedup, packing, pii, quality_rules, substring_dedup
-from stratum.llm.storage import saved
+from stratum.llm.storage import mark, saved
 from stratum.shipping import ship
 
 
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        # once a stage is written, its own tables and its predecessor's rows have served
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", since=begun)
     return STAGES[-1][1](spark, docs, sf_dir)
