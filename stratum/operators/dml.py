@@ -12,9 +12,12 @@ from ..sources.catalog import Catalog, Table
 from .vectors import positions
 
 
-def insert(catalog: Catalog, spark: SparkSession, table: Table, rows: list[tuple[int, ...]]) -> None:
-    """Rows after all others, or, in a clustered table, after those of an equal key."""
-    storage.append(catalog, table, spark.createDataFrame(rows, storage.schema(table)).coalesce(1))
+def insert(catalog: Catalog, spark: SparkSession, table: Table) -> None:
+    """The table's waiting rows after all others, or, in a clustered table, after those of an equal key."""
+    rows = catalog.pending.get(table.name)
+    if rows:
+        storage.append(catalog, table, spark.createDataFrame(rows, storage.schema(table)).coalesce(1), catalog.entry)
+        catalog.settle(table)
 
 
 def _plain(table: Table, p: PosVec) -> bool:

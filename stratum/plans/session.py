@@ -16,6 +16,8 @@ from . import dsl
 from .frame import Frame, NumVal, PosVec, ValVec, base_frame, evaluate
 
 MOST_PRINTED = 64
+#: Inserted rows of a table that wait for a read before they are written anyway.
+MOST_WAITING = 100_000
 
 
 class Session:
@@ -36,18 +38,15 @@ class Session:
         self.single = False
         self.closed = False
         self._frames: dict[tuple[str, int], Frame] = {}
-        self._inserts: dict[str, list[tuple[int, ...]]] = {}
 
     # names
 
     def flush(self, table: Table) -> None:
         """Write the rows inserted since the table was last read or changed."""
-        rows = self._inserts.pop(table.name, None)
-        if rows:
-            dml.insert(self.catalog, self.spark, table, rows)
+        dml.insert(self.catalog, self.spark, table)
 
     def flush_all(self) -> None:
-        for name in list(self._inserts):
+        for name in list(self.catalog.pending):
             self.flush(self.catalog.tables[name])
 
     def frame(self, table: Table) -> Frame:
@@ -124,7 +123,7 @@ class Session:
     def _do_create(self, s: dsl.Statement) -> None:
         kind, args = s.args[0], s.args[1:]
         if kind == "db" and len(args) == 1:
-            self._inserts, self._frames = {}, {}
+            self._frames = {}
             self.catalog.create_db(dsl.quoted(args[0]))
         elif kind == "tbl" and len(args) == 3:
             self.catalog.create_table(args[1], dsl.quoted(args[0]), dsl.number(args[2]))
@@ -264,7 +263,8 @@ class Session:
             raise StatementError("One value for each column required.")
         if not all(-(2**31) <= x < 2**31 for x in row):
             raise StatementError("Value out of range.")
-        self._inserts.setdefault(table.name, []).append(row)
+        if self.catalog.add(table, row) >= MOST_WAITING:
+            self.flush(table)
 
     def _do_relational_delete(self, s: dsl.Statement) -> None:
         table, p = self.catalog.table(s.args[0]), self.position(s.args[1])

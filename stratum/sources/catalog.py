@@ -1,4 +1,4 @@
-"""Databases, tables, columns, indexes and table versions, kept as one JSON file."""
+"""Databases, tables, columns, indexes and table versions, kept as one JSON file; rows not yet in a version, as a journal."""
 
 from __future__ import annotations
 
@@ -38,6 +38,7 @@ class Table:
     number: int = 0
     version: Version = field(default_factory=Version)
     external: str | None = None  # a parquet file read in place until the table is first changed
+    logged: int = 0  # the last journal entry whose row the version has
 
     @property
     def filled(self) -> bool:
@@ -63,7 +64,12 @@ def valid_name(name: str) -> str:
 
 
 class Catalog:
-    """One database at a time; every change is written at once and atomically."""
+    """One database at a time; every change is written at once and atomically.
+
+    Inserted rows wait in `pending` until they become a version. Each is first a line
+    of the journal, numbered, and a version is saved with the number of the last row
+    it has: after the process is lost at any point, every row is there once.
+    """
 
     def __init__(self, root: str, data: str | None = None):
         """`root` has the catalog file; `data` (default: the same) is where Spark writes versions: a folder that all executors share."""
@@ -73,6 +79,9 @@ class Catalog:
         self.db: str | None = None
         self.tables: dict[str, Table] = {}
         self.made = 0
+        self.pending: dict[str, list[tuple[int, ...]]] = {}
+        self.entry = 0  # the last journal entry
+        self.journal = self.root / "inserts.jsonl"
         path = self.root / "catalog.json"
         if path.exists():
             state = json.loads(path.read_text())
@@ -81,6 +90,37 @@ class Catalog:
                 v = t.pop("version")
                 t["index"] = {c: tuple(x) for c, x in t["index"].items()}
                 self.tables[t["name"]] = Table(**t, version=Version([Segment(**s) for s in v["segments"]], v["indexes"]))
+        self._replay()
+
+    def _replay(self) -> None:
+        """The journal's rows that no version has; a line that was not written to its end is cut off."""
+        self.entry = max((t.logged for t in self.tables.values()), default=0)
+        if not self.journal.exists():
+            return
+        text = self.journal.read_text()
+        whole = text[: text.rfind("\n") + 1]
+        if whole != text:
+            self.journal.write_text(whole)
+        for line in whole.splitlines():
+            entry, name, row = json.loads(line)
+            self.entry = max(self.entry, entry)
+            if name in self.tables and entry > self.tables[name].logged:
+                self.pending.setdefault(name, []).append(tuple(row))
+
+    def add(self, table: Table, row: tuple[int, ...]) -> int:
+        """Take a row, and say how many of the table now wait. The journal outlives the process, not a loss of power."""
+        self.entry += 1
+        with self.journal.open("a") as f:
+            f.write(json.dumps([self.entry, table.name, row]) + "\n")
+        rows = self.pending.setdefault(table.name, [])
+        rows.append(row)
+        return len(rows)
+
+    def settle(self, table: Table) -> None:
+        """The table's waiting rows are in a version that has been saved."""
+        self.pending.pop(table.name, None)
+        if not self.pending:
+            self.journal.unlink(missing_ok=True)
 
     def save(self) -> None:
         path = self.root / "catalog.json"
@@ -94,7 +134,8 @@ class Catalog:
         return f"{self.data}/{name}-{self.made}"
 
     def create_db(self, name: str) -> None:
-        self.db, self.tables = valid_name(name), {}
+        self.db, self.tables, self.pending = valid_name(name), {}, {}
+        self.journal.unlink(missing_ok=True)
         self.save()
 
     def create_table(self, db: str, name: str, arity: int) -> None:

@@ -21,6 +21,9 @@ from .catalog import Catalog, Segment, Table, Version
 
 PART, ROW, POS = "__part", "__row", "__pos"
 
+#: Most segments of a version; beyond it, the last ones become one.
+MOST_SEGMENTS = 16
+
 
 def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumns({PART: F.spark_partition_id(), ROW: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
@@ -85,22 +88,39 @@ def build_index(catalog: Catalog, table: Table, df: DataFrame, column: str) -> s
     return path
 
 
-def publish(catalog: Catalog, spark: SparkSession, table: Table, segments: list[Segment]) -> None:
-    """Make segments the current version, with its indexes."""
+def compacted(catalog: Catalog, spark: SparkSession, table: Table, segments: list[Segment]) -> list[Segment]:
+    """At most MOST_SEGMENTS with the same rows at the same positions.
+
+    The longest tail becomes one segment whose first member has at most four times the
+    rows of the others together, so that a row is written again only a few times.
+    """
+    if len(segments) <= MOST_SEGMENTS:
+        return segments
+    after = [sum(s.rows for s in segments[i + 1 :]) for i in range(len(segments))]
+    at = next((i for i, s in enumerate(segments[:-1]) if s.rows <= 4 * after[i]), len(segments) - 2)
+    tail = read_version(spark, table, Version(segments[at:]))
+    return [*segments[:at], write_segment(catalog, table, ordered(tail, POS))]
+
+
+def publish(catalog: Catalog, spark: SparkSession, table: Table, segments: list[Segment], logged: int | None = None) -> None:
+    """Make segments the current version, with its indexes; `logged`: the last journal entry that it has."""
+    segments = compacted(catalog, spark, table, segments)
     version = Version(segments)
     df = read_version(spark, table, version)
     for column, (_, clustered) in table.index.items():
         if not clustered and version.rows:
             version.indexes[column] = build_index(catalog, table, df, column)
     table.version, table.external = version, None
+    if logged is not None:
+        table.logged = logged
     table.number += 1
     catalog.save()
 
 
-def rewrite(catalog: Catalog, table: Table, df: DataFrame) -> None:
+def rewrite(catalog: Catalog, table: Table, df: DataFrame, logged: int | None = None) -> None:
     """A whole new version from rows with positions; order is kept, or made that of the clustered column."""
     keys = [table.clustered, POS] if table.clustered else [POS]
-    publish(catalog, df.sparkSession, table, [write_segment(catalog, table, ordered(df, *keys))])
+    publish(catalog, df.sparkSession, table, [write_segment(catalog, table, ordered(df, *keys))], logged)
 
 
 def replace_values(catalog: Catalog, spark: SparkSession, table: Table, change: Callable[[DataFrame], DataFrame]) -> None:
@@ -113,16 +133,16 @@ def replace_values(catalog: Catalog, spark: SparkSession, table: Table, change:
     publish(catalog, spark, table, segments)
 
 
-def append(catalog: Catalog, table: Table, rows: DataFrame) -> None:
+def append(catalog: Catalog, table: Table, rows: DataFrame, logged: int | None = None) -> None:
     """Rows after the existing ones; a clustered table is merged, others only grow by files."""
     spark = rows.sparkSession
     if table.external is not None:
         rewrite(catalog, table, read_version(spark, table))
     if not table.clustered:
-        publish(catalog, spark, table, [*table.version.segments, write_segment(catalog, table, rows)])
+        publish(catalog, spark, table, [*table.version.segments, write_segment(catalog, table, rows)], logged)
         return
     segment = write_segment(catalog, table, rows)
-    rewrite(catalog, table, read_version(spark, table, Version([*table.version.segments, segment])))
+    rewrite(catalog, table, read_version(spark, table, Version([*table.version.segments, segment])), logged)
 
 
 def load_csv(catalog: Catalog, spark: SparkSession, path: str) -> Table:

@@ -298,3 +298,48 @@ def test_single_core_holds_for_what_is_asked_in_it(tmp_path, s, data):
     assert s.numbers["x"].single and s.rows("f").rdd.getNumPartitions() == 1
     m = (data[0] >= 0) & (data[0] < 100)
     assert run(s, ["print(f)", "single_core_execute()", "print(x)"]) == [*text(data[1][m]), str(data[1][m].sum())]
+
+
+def test_inserts_outlive_the_process(spark, tmp_path, s):
+    """Nothing is flushed or shut down here: a new session on the same folder is what is left after a crash."""
+    again = lambda: Session(spark, str(tmp_path / "db"))
+    show = ["print(db1.t.col1,db1.t.col2)"]
+    run(s, ['create(tbl,"t",db1,2)', 'create(col,"col1",db1.t)', 'create(col,"col2",db1.t)', 'create(tbl,"u",db1,1)', 'create(col,"col1",db1.u)'])
+    run(s, ["relational_insert(db1.t,1,-1)", "relational_insert(db1.u,7)", "relational_insert(db1.t,2,-2)"])
+    assert run(again(), show) == ["1,-1", "2,-2"]  # this one wrote them to a version, but not u's
+    s = again()
+    assert run(s, [*show, "print(db1.u.col1)"]) == ["1,-1", "2,-2", "7"]
+    assert not s.catalog.journal.exists()
+    run(s, ["relational_insert(db1.t,3,-3)"])
+    kept = s.catalog.journal.read_text()
+    assert run(s, show) == ["1,-1", "2,-2", "3,-3"]
+    # lost after the version was saved and before the journal was cleared, within a further line
+    s.catalog.journal.write_text(kept + '[9, "t", [4, ')
+    s = again()
+    assert run(s, ["relational_insert(db1.t,5,-5)", *show]) == ["1,-1", "2,-2", "3,-3", "5,-5"]
+    s = again()
+    run(s, ["relational_insert(db1.t,6,-6)", 'create(db,"db1")'])
+    assert again().catalog.pending == {}
+
+
+def test_many_waiting_inserts_are_written(tmp_path, s, monkeypatch):
+    monkeypatch.setattr("stratum.plans.session.MOST_WAITING", 3)
+    table(s, "t", [np.arange(2)], tmp_path / "a.csv")
+    run(s, [f"relational_insert(db1.t,{i})" for i in range(10, 17)])
+    assert s.catalog.pending == {"t": [(16,)]} and s.catalog.tables["t"].version.rows == 8
+    assert run(s, ["print(db1.t.col1)"]) == [str(x) for x in (0, 1, *range(10, 17))]
+
+
+@pytest.mark.parametrize("indexes", [(), ("col1,sorted,unclustered",)])
+def test_versions_have_few_segments(tmp_path, s, indexes, monkeypatch):
+    monkeypatch.setattr("stratum.sources.storage.MOST_SEGMENTS", 4)
+    table(s, "t", [np.arange(100), np.arange(100) * 2], tmp_path / "a.csv", indexes)
+    run(s, ["early=select(db1.t.col1,98,null)", "old=fetch(db1.t.col2,early)"])
+    t = s.catalog.tables["t"]
+    first = t.version.segments[0].path
+    for i in range(100, 112):
+        run(s, [f"relational_insert(db1.t,{i},{2 * i})", "x=sum(db1.t.col1)"])
+        assert len(t.version.segments) <= 4
+    assert t.version.segments[0].path == first  # the large one is not written again for single rows
+    got = run(s, ["p=select(db1.t.col1,97,103)", "f=fetch(db1.t.col2,p)", "print(f)", "print(old)", "late=fetch(db1.t.col2,early)", "print(late)", "s=sum(db1.t.col1)", "print(s)"])
+    assert got == ["194", "196", "198", "200", "202", "204", "196", "198", "196", "198", str(sum(range(112)))]
