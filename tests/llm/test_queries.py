@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import public_tokenizers
 import pytest
 
 from stratum.llm import queries as Q
+from stratum.llm.unigram import decode_ids
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -25,3 +27,10 @@ def test_oracle(spark, name):
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_op6_returns_what_decodes_to_the_texts(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    back = decode_ids(Q.QUERIES["op6_sentencepiece"](spark, MEDIUM), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(back) == len(text) and {r.doc_id: r.text for r in back} == text
