@@ -112,6 +112,7 @@ def cuts(w: K.Words, reach: int) -> np.ndarray:
     after_end = np.zeros(n, bool)
     after_end[1:] = _ENDS[w.buf[w.end[:-1] - 1]]
     line = line_starts(w)
+    line[w.first[:-1][w.count > 0]] = True  # whatever text stands before in the batch
     rank = np.where(line, 0, np.where(after_end | upper, 1, 2)).astype(np.uint64)
     follow = np.r_[w.hash[1:], w.hash[:1]]
     follow[w.first[1:][w.count > 0] - 1] = 0  # a text's last word has none after it

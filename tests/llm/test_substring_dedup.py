@@ -41,6 +41,8 @@ def test_cuts_depend_on_near_words_only():
 def test_cuts_against_plain(spark):
     r = random.Random(2)
     texts = [" ".join(prose(r, r.randrange(0, 60))) for _ in range(50)]
+    # texts that begin in lower case after ones that end a sentence, a line or neither
+    texts += [" ".join(words(r, r.randrange(1, 30))) + r.choice(["", ".", "\n", "!\n\n"]) for _ in range(200)]
     one = []
     for _, _, buf, off in K.chunks(pa.array(texts)):
         w = K.Words(buf, off, lower=True)
