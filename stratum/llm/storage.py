@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where it is unset (tests on one machine)."""
@@ -28,11 +30,17 @@ def saved(df: DataFrame, name: str, since: int | None = None, keep: tuple[DataFr
     """Write `df` as a table in the shared folder and read it back: computed once, pruned by column later, safe from lost executors.
 
     since: the tables saved after this mark only served this one, and are deleted
-    once it is written, but for those in `keep`.
+    once it is written, but for those in `keep`. Shuffle files of the writing go at
+    once, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     sc = spark.sparkContext
     paths = getattr(sc, "_stratum_saved", [])
     if since is not None:
