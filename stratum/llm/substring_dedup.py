@@ -42,6 +42,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ from . import kernels as K
 from .columns import fields, plain, with_text
 from .components import components
 from .near_dedup import _runs, alike_sets, in_pieces, linked, settled, split_hot, spread
+from .sieve import passes, sieve
 from .storage import mark, saved
 
 _U = np.uint64
@@ -192,8 +194,8 @@ def code_points(buf: np.ndarray) -> np.ndarray:
     return points
 
 
-def _units(plan: Plan, place: bool, whole: bool):
-    """Unit rows (lines if `whole`, else pieces): with place, where each stands; else its band keys."""
+def _units(plan: Plan, place: bool, whole: bool, wanted=None):
+    """Unit rows (lines if `whole`, else pieces): with place, where each stands that the sieve `wanted` lets through; else its band keys."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +215,11 @@ def _units(plan: Plan, place: bool, whole: bool):
                         continue
                     begin, end, doc = begin[stay], end[stay], doc[stay]
                 f1, f2 = sequence(w, begin, end)
+                if place:
+                    pick = np.flatnonzero(passes(wanted.value, f1))
+                    if not len(pick):
+                        continue
+                    f1, f2, begin, end, doc = (x[pick] for x in (f1, f2, begin, end, doc))
                 out = {"f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2), "doc_id": pa.array(ids[i:j][doc].astype(np.int64)), "copy": pa.array(copies[i:j][doc].astype(np.int64))}
                 out |= {"begin": pa.array((begin - w.first[doc]).astype(np.int32)), "stop": pa.array((end - w.first[doc]).astype(np.int32))}
                 if place:
@@ -227,56 +234,103 @@ def _units(plan: Plan, place: bool, whole: bool):
     return run
 
 
+def _binaries(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The bytes of `count` values each."""
+    at = np.r_[0, np.cumsum(count)].astype(np.int64) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
 def _unit_sets(plan: Plan):
     """(text, wanted units) to their shingle sets."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(1).to_pylist()
+            first = np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy())]
+            rows = b.column(1).flatten()
+            node, begins, stops = (rows.field(k).to_numpy().astype(np.int64) for k in ("node", "begin", "stop"))
             for i, j, buf, off in K.chunks(b.column(0)):
-                w = K.Words(buf, off, lower=True)
-                picked = [(x["node"], w.first[k - i] + x["begin"], w.first[k - i] + x["stop"]) for k in range(i, j) for x in wanted[k]]
-                if not picked:
+                here = slice(first[i], first[j])
+                if first[i] == first[j]:
                     continue
-                node, begin, end = [x for x, *_ in picked], *(np.array([x[k] for x in picked], np.int64) for k in (1, 2))
-                h, at = shingled(w, begin, end, plan.width)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([np.unique(h[at[k] : at[k + 1]]).tobytes() for k in range(len(node))], pa.binary())], names=["node", "shingles"])
+                w = K.Words(buf, off, lower=True)
+                base = np.repeat(w.first[:-1], np.diff(first[i : j + 1]))
+                h, at = shingled(w, base + begins[here], base + stops[here], plan.width)
+                unit = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                order = np.lexsort((h, unit))
+                h, unit = h[order], unit[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])]
+                h, at = h[new], np.searchsorted(unit[new], np.arange(len(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[here]), _binaries(h, np.diff(at))], names=["node", "shingles"])
 
     return run
 
 
+_FEW = 8  # members of a group of which all pairs are compared
+
+
 def _verify(plan: Plan):
-    """Forest of the verified pairs among the members of a piece."""
+    """Verified pairs among the members of a piece: all of a few, else a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            count = b.column(0).value_lengths().to_numpy()
+            begin = np.r_[0, np.cumsum(count)]
+            members = b.column(0).flatten()
+            node = members.field("node").to_numpy()
+            flat, ends = _set_values(members.field("shingles"))
+            size = np.diff(ends)
             left, right = [], []
-            for members in b.column(0).to_pylist():
-                sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
-                if len(sets) == 2:
-                    pairs = [(0, 1)] if linked(len(np.intersect1d(*sets, assume_unique=True)), len(sets[0]), len(sets[1]), plan.percent) else []
-                else:
-                    size = np.array([len(s) for s in sets], np.int64)
-                    at = np.r_[0, np.cumsum(size)]
-                    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-                    mark = np.zeros(len(values), bool)
-
-                    def near(x: int, rest: np.ndarray, at=at, code=code, mark=mark, size=size) -> np.ndarray:
-                        mine = code[at[x] : at[x + 1]]
-                        mark[mine] = True
-                        total = np.r_[0, np.cumsum(mark[code])]
-                        mark[mine] = False
-                        return linked(total[at[rest + 1]] - total[at[rest]], size[rest], size[x], plan.percent)
-
-                    pairs = spread(len(sets), near)
-                left += [members[x]["node"] for x, _ in pairs]
-                right += [members[y]["node"] for _, y in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            for k in range(2, _FEW + 1):  # all pairs of small groups at once
+                some = begin[:-1][count == k]
+                for x, y in combinations(range(k), 2):
+                    for at in range(0, len(some), 4096):
+                        a, c = some[at : at + 4096] + x, some[at : at + 4096] + y
+                        hit = linked(_shared(flat, ends, a, c), size[a], size[c], plan.percent)
+                        left.append(node[a[hit]])
+                        right.append(node[c[hit]])
+            for g in np.flatnonzero(count > _FEW):
+                m, n = begin[g], begin[g + 1]
+                at, sizes = ends[m : n + 1] - ends[m], size[m:n]
+                values, code = np.unique(flat[ends[m] : ends[n]], return_inverse=True)
+                mark = np.zeros(len(values), bool)
+
+                def near(x: int, rest: np.ndarray, at=at, code=code, mark=mark, size=sizes) -> np.ndarray:
+                    mine = code[at[x] : at[x + 1]]
+                    mark[mine] = True
+                    total = np.r_[0, np.cumsum(mark[code])]
+                    mark[mine] = False
+                    return linked(total[at[rest + 1]] - total[at[rest]], size[rest], size[x], plan.percent)
+
+                pairs = np.array(spread(n - m, near), np.int64).reshape(-1, 2) + m
+                left.append(node[pairs[:, 0]])
+                right.append(node[pairs[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, node[:0]]), pa.int64()) for x in (left, right)], names=["a", "b"])
 
     return run
 
 
+def _set_values(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of an array of sets, and where each set begins."""
+    sets = sets.cast(pa.large_binary())
+    n, (_, off, data) = len(sets), sets.buffers()
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    at = np.frombuffer(off, np.int64, n + 1, sets.offset * 8)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint64), (at - at[0]) // 8
+
+
+def _shared(flat: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each set of `a` shares with that of `b`."""
+    begin, size = np.r_[ends[a], ends[b]], np.r_[ends[a + 1] - ends[a], ends[b + 1] - ends[b]]
+    pair = np.repeat(np.r_[np.arange(len(a)), np.arange(len(b))], size)
+    values = flat[np.arange(len(pair)) + np.repeat(begin - (np.cumsum(size) - size), size)]
+    order = np.lexsort((values, pair))
+    values, pair = values[order], pair[order]
+    same = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
+    return np.bincount(pair[1:][same], minlength=len(a))
+
+
 def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Verified pairs within keys of more members than one piece holds: with a few of them, then in blocks."""
     members = saved(many.join(sets, "node").select(F.col("key").alias("grp"), "node", F.col("shingles").alias("data")), "hot")
@@ -285,16 +339,34 @@ def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return edges.union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
 
 
-def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = None) -> DataFrame:
-    """The units to remove, where each stands and what stays (keep: of its first unit, tail: of its last); those that touch `skips` are not counted."""
+_PLACES = 1 << 24
+
+
+def _fits(src: DataFrame) -> bool:
+    """Whether id and word number of any word fit into one long."""
+    low, high, size = src.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    return low is None or (low >= 0 and high < (1 << 63) // _PLACES and (size or 0) <= _PLACES)
+
+
+def _gone(src: DataFrame, plan: Plan, whole: bool, packed: bool, skips: DataFrame | None = None) -> DataFrame:
+    """The units to remove, where each stands and what stays (keep: of its first unit, tail: of its last); those that touch `skips` are not counted.
+
+    packed: ids do not repeat, and `_fits` holds.
+    """
     begun = mark(src.sparkSession)
     bands = [f"k{n}" for n in range(plan.bands)]
-    counted = src if skips is None else src.join(skips.hint("merge"), ["doc_id", "copy"], "left").select("doc_id", "copy", "text", "skip")
+    # the smaller side of these joins is hashed, so that neither texts nor all units are sorted
+    counted = src if skips is None else src.join(skips.hint("shuffle_hash"), ["doc_id", "copy"], "left").select("doc_id", "copy", "text", "skip")
     schema = "f1 long, f2 int, doc_id long, copy long, begin int, stop int, "
     rows = counted.mapInArrow(_units(plan, False, whole), schema + ", ".join(f"{k} long" for k in bands))
-    place = F.struct("doc_id", "copy", "begin", "stop")
-    classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(place).alias("first"), *(F.first(k).alias(k) for k in bands))
-    classes = saved(classes.select("*", F.monotonically_increasing_id().alias("node")), "paragraphs")
+    # equal units have equal keys and as many words; Spark groups by hash only what is in columns of fixed length, and sorts for a struct
+    least = F.min((F.col("doc_id") * _PLACES + F.col("begin")) if packed else F.struct("doc_id", "copy", "begin", "stop")).alias("first")
+    classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), least, F.min(F.col("stop") - F.col("begin")).alias("words"), *(F.min(k).alias(k) for k in bands))
+    if packed:
+        begin = F.col("first").bitwiseAND(F.lit(_PLACES - 1)).cast("int")
+        doc = F.shiftright("first", _PLACES.bit_length() - 1)
+        classes = classes.withColumn("first", F.struct(doc.alias("doc_id"), F.lit(0).cast("long").alias("copy"), begin.alias("begin"), (begin + F.col("words")).alias("stop")))
+    classes = saved(classes.select("f1", "f2", "n", "first", *bands, F.monotonically_increasing_id().alias("node")), "paragraphs")
 
     by_band = lambda df: df.select("node", F.explode(F.array(*bands)).alias("key")).select("key", "node")
     keyed_from = mark(src.sparkSession)
@@ -307,9 +379,9 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = Non
     many = (many if hot is None else many.union(hot)).distinct()
 
     hit = members.select("node").union(many.select("node")).distinct()
-    hit = saved(classes.select("node", "first", "f1", "f2").join(hit, "node"), "collided")
+    hit = saved(classes.select("node", "first", "f1", "f2").join(hit.hint("shuffle_hash"), "node"), "collided")
     wanted = hit.groupBy("first.doc_id", "first.copy").agg(F.collect_list(F.struct("node", "first.begin", "first.stop")).alias("wanted"))
-    sets = saved(src.join(wanted.hint("merge"), ["doc_id", "copy"]).select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
+    sets = saved(src.join(wanted.hint("shuffle_hash"), ["doc_id", "copy"]).select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
     full = members.join(sets, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
     same = saved(components(found.union(_hot_keys(many, sets, plan))), "same", since=keyed_from, keep=(hit,))
@@ -319,8 +391,8 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, skips: DataFrame | None = Non
     cluster = saved(exact.unionByName(near).dropDuplicates(["node"]), "clusters", since=begun)
     keep = cluster.groupBy("component").agg(F.min("first").alias("keep"))
     known = cluster.join(keep, "component").select("f1", "f2", "keep")
-    placed = src.mapInArrow(_units(plan, True, whole), schema + "start long, end long")
-    gone = placed.join(known, ["f1", "f2"]).where("not (doc_id = keep.doc_id and copy = keep.copy and begin = keep.begin)")
+    placed = src.mapInArrow(_units(plan, True, whole, sieve(cluster.select("f1"))), schema + "start long, end long")
+    gone = placed.join(known.hint("shuffle_hash"), ["f1", "f2"]).where("not (doc_id = keep.doc_id and copy = keep.copy and begin = keep.begin)")
     gone = gone.groupBy("doc_id", "copy", "begin").agg(*(F.min(c).alias(c) for c in ("start", "keep")), *(F.max(c).alias(c) for c in ("end", "stop")))
     # nodes are numbered anew in each run; a cluster is named by what stays of it
     return gone.select("doc_id", "copy", "start", "end", "begin", "stop", "keep", F.col("keep").alias("tail"), F.xxhash64("keep", F.lit(whole)).alias("component"))
@@ -346,31 +418,34 @@ def _sides(plan: Plan):
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, copies, skips, asked = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+            skips, first = b.column(3).to_pylist(), np.r_[0, np.cumsum(b.column(4).value_lengths().to_numpy())]
+            asked = b.column(4).flatten()
             for i, j, buf, off in K.chunks(b.column(2)):
+                if first[i] == first[j]:
+                    continue
+                some = asked.slice(first[i], first[j] - first[i])
+                at, back = some.field("at").to_numpy(), some.field("back").to_numpy(zero_copy_only=False)
+                own = some.field("like").is_valid().to_numpy(zero_copy_only=False)
                 w = K.Words(buf, off, lower=True)
                 cut, points = cuts(w, plan.reach), code_points(buf)
-                total = _skipped(w, skips[i:j])
-                out = []
-                for k in range(i, j):
-                    first, last, base = int(w.first[k - i]), int(w.first[k - i + 1]), points[off[k - i]]
-                    for x in asked[k]:
-                        at = first + x["at"]
-                        if x["back"]:
-                            far = max(first, int(cut[max(np.searchsorted(cut, at) - 1, 0)]) - plan.reach, 0)
-                            pick = np.arange(at - 1, far - 1, -1)
-                        else:
-                            k_ = np.searchsorted(cut, at, "right")
-                            far = min(last, (int(cut[k_]) if k_ < len(cut) else last) + plan.reach)
-                            pick = np.arange(at, far)
-                        own = x["like"] is not None
-                        if not own and len(pick):  # what goes itself is no reason to go
-                            pick = pick[: int(np.argmax(np.r_[total[pick + 1] != total[pick], True]))]
-                        where = (points[w.start[pick]] if x["back"] else points[w.end[pick]]) - base if own else pick[:0]
-                        out.append((ids[k], copies[k], x["at"], x["back"], w.hash[pick].tobytes(), where.astype(np.int32).tobytes(), x["like"], x["room"]))
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.struct([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32())]), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "copy", "at", "back", "words", "points", "like", "room"])
+                gone = np.diff(_skipped(w, skips[i:j])) > 0
+                doc = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+                at = w.first[doc] + at
+                low = np.maximum(w.first[doc], cut[np.maximum(np.searchsorted(cut, at) - 1, 0)] - plan.reach)
+                after = np.r_[cut, len(w.start)][np.searchsorted(cut, at, "right")]
+                high = np.minimum(w.first[doc + 1], after + plan.reach)
+                count = np.maximum(np.where(back, at - low, high - at), 0)
+                ask = np.repeat(np.arange(len(at)), count)
+                far = np.arange(len(ask)) - np.repeat(np.cumsum(count) - count, count)
+                pick = np.where(back[ask], at[ask] - 1 - far, at[ask] + far)
+                bad = gone[pick] & ~own[ask]  # what goes itself is no reason to go
+                np.minimum.at(count, ask[bad], far[bad])
+                stay = far < count[ask]
+                ask, pick = ask[stay], pick[stay]
+                where = (np.where(back[ask], points[w.start[pick]], points[w.end[pick]]) - points[off[doc[ask]]])[own[ask]]
+                rows = pa.array(i + doc)
+                out = [b.column(0).take(rows), b.column(1).take(rows), some.field("at"), some.field("back"), _binaries(w.hash[pick], count), _binaries(where.astype(np.int32), np.where(own, count, 0))]
+                yield pa.RecordBatch.from_arrays([*out, some.field("like"), some.field("room")], names=["doc_id", "copy", "at", "back", "words", "points", "like", "room"])
 
     return run
 
@@ -404,7 +479,7 @@ def _extended(src: DataFrame, gone: DataFrame, plan: Plan, skips: DataFrame | No
     theirs = mine.select("like.*", "back").distinct().select("doc_id", "copy", "at", "back", F.lit(None).cast("struct<doc_id:long,copy:long,at:int>").alias("like"), F.lit(whole).alias("room"))
     asked = mine.union(theirs).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "back", "like", "room")).alias("asked"))
     asked = asked.withColumn("skip", F.lit(None).cast("array<struct<begin:int,stop:int>>")) if skips is None else asked.join(skips.hint("merge"), ["doc_id", "copy"], "left")
-    texts = src.join(asked.hint("merge"), ["doc_id", "copy"])
+    texts = src.join(asked.hint("shuffle_hash"), ["doc_id", "copy"])
     sides = saved(texts.select("doc_id", "copy", "text", "skip", "asked").mapInArrow(_sides(plan), _SIDE), "sides")
     stay = sides.where("like is null").select(F.struct("doc_id", "copy", "at").alias("like"), "back", F.col("words").alias("theirs"))
     both = sides.where("like is not null and length(words) > 0").join(stay.where("length(theirs) > 0").hint("merge"), ["like", "back"])
@@ -434,14 +509,15 @@ def _repeats(keyed: DataFrame, repeated: bool, plan: Plan) -> DataFrame:
     src = keyed.where("doc_id is not null").select("doc_id", "copy", "text")
     if repeated:  # equal rows are one document
         src = saved(src.dropDuplicates(["doc_id", "copy"]), "documents")
+    packed = not repeated and _fits(src)
     skips, begun = None, mark(src.sparkSession)
     if plan.paragraphs:
-        first = saved(_spans(_gone(src, plan, True), plan.min_words), "lines", since=begun)
+        first = saved(_spans(_gone(src, plan, True, packed), plan.min_words), "lines", since=begun)
         skips = saved(first.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("begin", "stop")).alias("skip")), "skips")
         begun = mark(src.sparkSession)
-        gone = _gone(src, plan, False, skips).unionByName(first)
+        gone = _gone(src, plan, False, packed, skips).unionByName(first)
     else:
-        gone = _gone(src, plan, False)
+        gone = _gone(src, plan, False, packed)
     if plan.extend:
         gone = _extended(src, gone, plan, skips, begun)
     return _spans(gone, plan.min_words)

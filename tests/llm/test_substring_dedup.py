@@ -5,6 +5,10 @@ import pyarrow as pa
 import pytest
 
 from stratum.llm import kernels as K
+from stratum.llm import substring_dedup
+from stratum.llm.components import forest
+from stratum.llm.sieve import passes, sieve
+from stratum.llm.storage import saved
 from stratum.llm.substring_dedup import Plan, cut, cuts, repeats
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -252,3 +256,53 @@ def test_columns_of_any_name(spark):
     done = cut(df)
     assert done.columns == df.columns and [f.dataType for f in done.schema.fields] == [f.dataType for f in df.schema.fields]
     assert sorted(map(tuple, done.collect())) == [rows[0], (2, "", "a", "b", "c", "d", "e", 0)]
+
+
+def test_units_are_neither_sorted_nor_all_placed(spark, monkeypatch):
+    """Classes are grouped by hash, texts and placed units joined by hash; ids that do not fit into one long with a place give the same."""
+    r = random.Random(12)
+    shared = [prose(r, 40) for _ in range(4)]
+    rows = [(k, "\n".join(" ".join(x) for x in (prose(r, 30), shared[k % 4], prose(r, 25) + shared[(k + 1) % 4] + prose(r, 20)))) for k in range(24)]
+    plans = {}
+
+    def seen(df, name, *args, **kwargs):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return saved(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(substring_dedup, "saved", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = sorted(map(tuple, repeats(df).collect()))
+    assert all("SortAggregate" not in p for p in plans["paragraphs"]) and len(plans["paragraphs"]) == 2
+    assert all("SortMergeJoin" not in p for name in ("sets", "collided") for p in plans[name])
+    far = 2**62
+    two = sorted(map(tuple, repeats(df.withColumn("doc_id", df.doc_id - far)).collect()))
+    strip = lambda spans, by: [(s[0] + by, *s[1:4], s[4] + by) for s in spans]
+    assert strip(two, far) == strip(one, 0) and len(one) > 20
+
+
+def test_sieve(spark):
+    r = np.random.default_rng(13)
+    keys = r.integers(-(2**63), 2**63 - 1, 30_000, dtype=np.int64)
+    filled = sieve(saved(spark.createDataFrame([(int(k),) for k in keys], "k long"), "keys")).value
+    assert passes(filled, keys).all()
+    assert passes(filled, r.integers(-(2**63), 2**63 - 1, 30_000, dtype=np.int64)).mean() < 0.02
+    assert not passes(sieve(saved(spark.createDataFrame([], "k long"), "keys")).value, keys).any()
+
+
+def test_verified_pairs_by_brute_force():
+    """Groups of any size: the pairs connect what all linked pairs connect."""
+    r = random.Random(14)
+    lists, node = [], 0
+    for _ in range(60):
+        base, members = r.sample(range(1, 2**40), 12), []
+        for _ in range(r.randrange(1, 14)):
+            s = {x if r.random() < 0.93 else r.randrange(2**40) for x in base[: r.randrange(10, 13)]}
+            members.append({"node": node, "shingles": np.array(sorted(s), np.uint64).tobytes(), "set": s})
+            node += 1
+        lists.append(members)
+    wanted = [(a["node"], b["node"]) for g in lists for a in g for b in g if a["node"] < b["node"] and 100 * len(a["set"] & b["set"]) >= 80 * len(a["set"] | b["set"])]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("shingles", pa.binary())]))
+    plain = [[{k: m[k] for k in ("node", "shingles")} for m in g] for g in lists]
+    batch = pa.RecordBatch.from_arrays([pa.array([[], *plain], kind).slice(1)], names=["members"])
+    found = [tuple(sorted(x.values())) for b in substring_dedup._verify(Plan())(iter([batch])) for x in b.to_pylist()]
+    assert set(found) <= set(wanted) and forest(iter(found)) == forest(iter(wanted)) and len(wanted) > 50
