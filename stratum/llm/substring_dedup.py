@@ -194,8 +194,11 @@ def code_points(buf: np.ndarray) -> np.ndarray:
     return points
 
 
-def _units(plan: Plan, place: bool, whole: bool, wanted=None):
-    """Unit rows (lines if `whole`, else pieces): with place, where each stands that the sieve `wanted` lets through; else its band keys."""
+_PLACES = 1 << 24
+
+
+def _units(plan: Plan, place: bool, whole: bool, wanted=None, packed: bool = False):
+    """Unit rows (lines if `whole`, else pieces): with place, where each stands that the sieve `wanted` lets through; else its band keys (packed: id and place in one long)."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +223,12 @@ def _units(plan: Plan, place: bool, whole: bool, wanted=None):
                     if not len(pick):
                         continue
                     f1, f2, begin, end, doc = (x[pick] for x in (f1, f2, begin, end, doc))
-                out = {"f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2), "doc_id": pa.array(ids[i:j][doc].astype(np.int64)), "copy": pa.array(copies[i:j][doc].astype(np.int64))}
-                out |= {"begin": pa.array((begin - w.first[doc]).astype(np.int32)), "stop": pa.array((end - w.first[doc]).astype(np.int32))}
+                out = {"f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2)}
+                if packed:
+                    out |= {"first": pa.array(ids[i:j][doc].astype(np.int64) * _PLACES + begin - w.first[doc]), "words": pa.array((end - begin).astype(np.int32))}
+                else:
+                    out |= {"doc_id": pa.array(ids[i:j][doc].astype(np.int64)), "copy": pa.array(copies[i:j][doc].astype(np.int64))}
+                    out |= {"begin": pa.array((begin - w.first[doc]).astype(np.int32)), "stop": pa.array((end - w.first[doc]).astype(np.int32))}
                 if place:
                     points = code_points(buf)
                     base = points[off[doc]]
@@ -240,28 +247,32 @@ def _binaries(values: np.ndarray, count: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(at), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
-def _unit_sets(plan: Plan):
-    """(text, wanted units) to their shingle sets."""
+def _unit_sets(plan: Plan, whole: bool):
+    """(text, wanted units) to these units' hashes, words and shingle sets."""
 
     @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first = np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy())]
             rows = b.column(1).flatten()
-            node, begins, stops = (rows.field(k).to_numpy().astype(np.int64) for k in ("node", "begin", "stop"))
+            node, begins = (rows.field(k).to_numpy().astype(np.int64) for k in ("node", "begin"))
             for i, j, buf, off in K.chunks(b.column(0)):
                 here = slice(first[i], first[j])
                 if first[i] == first[j]:
                     continue
                 w = K.Words(buf, off, lower=True)
-                base = np.repeat(w.first[:-1], np.diff(first[i : j + 1]))
-                h, at = shingled(w, base + begins[here], base + stops[here], plan.width)
+                begin = np.repeat(w.first[:-1], np.diff(first[i : j + 1])) + begins[here]
+                cut = starts(w, plan, whole)
+                end = np.r_[cut, len(w.start)][np.searchsorted(cut, begin, "right")]
+                f1, f2 = sequence(w, begin, end)
+                h, at = shingled(w, begin, end, plan.width)
                 unit = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 order = np.lexsort((h, unit))
                 h, unit = h[order], unit[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])]
                 h, at = h[new], np.searchsorted(unit[new], np.arange(len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[here]), _binaries(h, np.diff(at))], names=["node", "shingles"])
+                out = [pa.array(node[here]), pa.array(f1.view(np.int64)), pa.array(f2), pa.array((end - begin).astype(np.int32)), _binaries(h, np.diff(at))]
+                yield pa.RecordBatch.from_arrays(out, names=["node", "f1", "f2", "words", "shingles"])
 
     return run
 
@@ -286,23 +297,14 @@ def _verify(plan: Plan):
                 for x, y in combinations(range(k), 2):
                     for at in range(0, len(some), 4096):
                         a, c = some[at : at + 4096] + x, some[at : at + 4096] + y
-                        hit = linked(_shared(flat, ends, a, c), size[a], size[c], plan.percent)
+                        hit = _alike(flat, ends, a, c, plan.percent)
                         left.append(node[a[hit]])
                         right.append(node[c[hit]])
             for g in np.flatnonzero(count > _FEW):
                 m, n = begin[g], begin[g + 1]
-                at, sizes = ends[m : n + 1] - ends[m], size[m:n]
-                values, code = np.unique(flat[ends[m] : ends[n]], return_inverse=True)
-                mark = np.zeros(len(values), bool)
-
-                def near(x: int, rest: np.ndarray, at=at, code=code, mark=mark, size=sizes) -> np.ndarray:
-                    mine = code[at[x] : at[x + 1]]
-                    mark[mine] = True
-                    total = np.r_[0, np.cumsum(mark[code])]
-                    mark[mine] = False
-                    return linked(total[at[rest + 1]] - total[at[rest]], size[rest], size[x], plan.percent)
-
-                pairs = np.array(spread(n - m, near), np.int64).reshape(-1, 2) + m
+                sizes = size[m:n]
+                near = linked(_shared(flat[ends[m] : ends[n]], sizes), sizes[:, None], sizes[None, :], plan.percent)
+                pairs = np.array(spread(n - m, lambda x, rest, near=near: near[x][rest]), np.int64).reshape(-1, 2) + m
                 left.append(node[pairs[:, 0]])
                 right.append(node[pairs[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, node[:0]]), pa.int64()) for x in (left, right)], names=["a", "b"])
@@ -320,28 +322,65 @@ def _set_values(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint64), (at - at[0]) // 8
 
 
-def _shared(flat: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many values each set of `a` shares with that of `b`."""
-    begin, size = np.r_[ends[a], ends[b]], np.r_[ends[a + 1] - ends[a], ends[b + 1] - ends[b]]
-    pair = np.repeat(np.r_[np.arange(len(a)), np.arange(len(b))], size)
-    values = flat[np.arange(len(pair)) + np.repeat(begin - (np.cumsum(size) - size), size)]
-    order = np.lexsort((values, pair))
-    values, pair = values[order], pair[order]
-    same = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
-    return np.bincount(pair[1:][same], minlength=len(a))
+def _within(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values stand in flat[begin:end], a sorted stretch for each of them, by binary search."""
+    low, high = begin.copy(), end.copy()
+    for _ in range(int((end - begin).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = (flat[np.minimum(mid, len(flat) - 1)] < values) & (low < high)
+        np.copyto(low, mid + 1, where=less)
+        np.copyto(high, mid, where=~less)
+    return (low < end) & (flat[np.minimum(low, len(flat) - 1)] == values)
+
+
+def _alike(flat: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of `a` are linked with that of `b`; only those are read in full that share one of so many first values that a linked pair cannot miss them all."""
+    size = np.diff(ends)
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    need = -(-percent * (size[a] + size[b]) // (100 + percent))  # shared values of a linked pair
+
+    def shared(pick: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """How many of `count` values of a, from place `first` on, are in b."""
+        pair = np.repeat(np.arange(len(pick)), count)
+        at = np.arange(len(pair)) + np.repeat(ends[a[pick]] + first - (np.cumsum(count) - count), count)
+        other = b[pick][pair]
+        return np.bincount(pair[_within(flat, ends[other], ends[other + 1], flat[at])], minlength=len(pick))
+
+    pick = np.flatnonzero(need <= size[a])
+    lead = size[a[pick]] - need[pick] + 1
+    inter = shared(pick, np.zeros_like(lead), lead)
+    pick, lead, inter = pick[inter > 0], lead[inter > 0], inter[inter > 0]
+    inter = inter + shared(pick, lead, size[a[pick]] - lead)
+    hit = np.zeros(len(a), bool)
+    hit[pick] = linked(inter, size[a[pick]], size[b[pick]], percent)
+    return hit
+
+
+_DENSE = 1 << 21  # cells of a table of sets by values
+
+
+def _shared(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many values each two of some sets share, with tables of so many cells at a time as products of floats are exact for."""
+    order, n = np.argsort(flat), len(sizes)
+    values, who = flat[order], np.repeat(np.arange(n), sizes)[order]
+    code = np.cumsum(np.r_[False, values[1:] != values[:-1]])
+    out, step = np.zeros((n, n), np.int64), max(64, _DENSE // n)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        i, j = np.searchsorted(code, (at, at + step))
+        held = np.zeros((n, code[j - 1] - at + 1), np.float32)
+        held[who[i:j], code[i:j] - at] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
 
 
 def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Verified pairs within keys of more members than one piece holds: with a few of them, then in blocks."""
-    members = saved(many.join(sets, "node").select(F.col("key").alias("grp"), "node", F.col("shingles").alias("data")), "hot")
+    members = saved(many.join(sets.select("node", "shingles"), "node").select(F.col("key").alias("grp"), "node", F.col("shingles").alias("data")), "hot")
     edges, marks = settled(members, alike_sets(plan.percent))
     lists = in_pieces(members, marks, plan.piece).groupBy("grp", "x", "y").agg(F.collect_list(F.struct("node", F.col("data").alias("shingles"))).alias("members"))
     return edges.union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
 
 
-_PLACES = 1 << 24
-
-
 def _fits(src: DataFrame) -> bool:
     """Whether id and word number of any word fit into one long."""
     low, high, size = src.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
@@ -357,16 +396,21 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, packed: bool, skips: DataFram
     bands = [f"k{n}" for n in range(plan.bands)]
     # the smaller side of these joins is hashed, so that neither texts nor all units are sorted
     counted = src if skips is None else src.join(skips.hint("shuffle_hash"), ["doc_id", "copy"], "left").select("doc_id", "copy", "text", "skip")
-    schema = "f1 long, f2 int, doc_id long, copy long, begin int, stop int, "
-    rows = counted.mapInArrow(_units(plan, False, whole), schema + ", ".join(f"{k} long" for k in bands))
+    place = "doc_id long, copy long, begin int, stop int"
+    keys = ", ".join(f"{k} long" for k in bands)
+    rows = counted.mapInArrow(_units(plan, False, whole, packed=packed), f"f1 long, f2 int, {'first long, words int' if packed else place}, {keys}")
     # equal units have equal keys and as many words; Spark groups by hash only what is in columns of fixed length, and sorts for a struct
-    least = F.min((F.col("doc_id") * _PLACES + F.col("begin")) if packed else F.struct("doc_id", "copy", "begin", "stop")).alias("first")
-    classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), least, F.min(F.col("stop") - F.col("begin")).alias("words"), *(F.min(k).alias(k) for k in bands))
-    if packed:
-        begin = F.col("first").bitwiseAND(F.lit(_PLACES - 1)).cast("int")
-        doc = F.shiftright("first", _PLACES.bit_length() - 1)
-        classes = classes.withColumn("first", F.struct(doc.alias("doc_id"), F.lit(0).cast("long").alias("copy"), begin.alias("begin"), (begin + F.col("words")).alias("stop")))
-    classes = saved(classes.select("f1", "f2", "n", "first", *bands, F.monotonically_increasing_id().alias("node")), "paragraphs")
+    least = [F.min("first").alias("node"), F.min("words").alias("words")] if packed else [F.min(F.struct("doc_id", "copy", "begin", "stop")).alias("first")]
+    classes = rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), *least, *(F.min(k).alias(k) for k in bands))
+    # where ids and places fit into one long, a class is numbered by its first unit, so that nothing need be looked up by number
+    classes = saved(classes if packed else classes.withColumn("node", F.monotonically_increasing_id()), "paragraphs")
+
+    def first(df: DataFrame) -> DataFrame:
+        """(node, f1, f2, words or first) with the first unit."""
+        if packed:
+            doc, begin = F.shiftright("node", _PLACES.bit_length() - 1), F.col("node").bitwiseAND(F.lit(_PLACES - 1)).cast("int")
+            df = df.withColumn("first", F.struct(doc.alias("doc_id"), F.lit(0).cast("long").alias("copy"), begin.alias("begin"), (begin + F.col("words")).alias("stop")))
+        return df.select("node", "first", "f1", "f2")
 
     by_band = lambda df: df.select("node", F.explode(F.array(*bands)).alias("key")).select("key", "node")
     keyed_from = mark(src.sparkSession)
@@ -379,19 +423,24 @@ def _gone(src: DataFrame, plan: Plan, whole: bool, packed: bool, skips: DataFram
     many = (many if hot is None else many.union(hot)).distinct()
 
     hit = members.select("node").union(many.select("node")).distinct()
-    hit = saved(classes.select("node", "first", "f1", "f2").join(hit.hint("shuffle_hash"), "node"), "collided")
-    wanted = hit.groupBy("first.doc_id", "first.copy").agg(F.collect_list(F.struct("node", "first.begin", "first.stop")).alias("wanted"))
-    sets = saved(src.join(wanted.hint("shuffle_hash"), ["doc_id", "copy"]).select("text", "wanted").mapInArrow(_unit_sets(plan), "node long, shingles binary"), "sets")
-    full = members.join(sets, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    if packed:
+        hit = first(hit.select("node", *(F.lit(0).alias(c) for c in ("f1", "f2", "words")))).select("node", "first")
+    else:
+        hit = classes.select("node", "first", "f1", "f2").join(hit.hint("shuffle_hash"), "node")
+    hit = saved(hit, "collided")
+    wanted = hit.groupBy("first.doc_id", "first.copy").agg(F.collect_list(F.struct("node", "first.begin")).alias("wanted"))
+    sets = src.join(wanted.hint("shuffle_hash"), ["doc_id", "copy"]).select("text", "wanted")
+    sets = saved(sets.mapInArrow(_unit_sets(plan, whole), "node long, f1 long, f2 int, words int, shingles binary"), "sets")
+    full = members.join(sets.select("node", "shingles"), "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
     found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
-    same = saved(components(found.union(_hot_keys(many, sets, plan))), "same", since=keyed_from, keep=(hit,))
+    same = saved(components(found.union(_hot_keys(many, sets, plan))), "same", since=keyed_from, keep=(sets if packed else hit,))
 
-    near = hit.join(same, "node")
-    exact = classes.where("n > 1").select("node", "first", "f1", "f2").join(same.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near = first(sets if packed else hit).join(same, "node")
+    exact = first(classes.where("n > 1")).join(same.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     cluster = saved(exact.unionByName(near).dropDuplicates(["node"]), "clusters", since=begun)
     keep = cluster.groupBy("component").agg(F.min("first").alias("keep"))
     known = cluster.join(keep, "component").select("f1", "f2", "keep")
-    placed = src.mapInArrow(_units(plan, True, whole, sieve(cluster.select("f1"))), schema + "start long, end long")
+    placed = src.mapInArrow(_units(plan, True, whole, sieve(cluster.select("f1"))), f"f1 long, f2 int, {place}, start long, end long")
     gone = placed.join(known.hint("shuffle_hash"), ["f1", "f2"]).where("not (doc_id = keep.doc_id and copy = keep.copy and begin = keep.begin)")
     gone = gone.groupBy("doc_id", "copy", "begin").agg(*(F.min(c).alias(c) for c in ("start", "keep")), *(F.max(c).alias(c) for c in ("end", "stop")))
     # nodes are numbered anew in each run; a cluster is named by what stays of it
