@@ -373,12 +373,81 @@ def _shared(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+_RARE = 16  # members of a key that may have a value which counts as uncommon
+
+
+def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the sets of (grp, node, data) rows, each mixed with its group, and where each set begins."""
+    flat, ends = _set_values(b.column(2))
+    return K.mix(flat ^ K.mix(np.repeat(b.column(0).to_numpy().view(np.uint64), np.diff(ends)))), ends
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in K.slices(batches, 2048):
+        yield pa.RecordBatch.from_arrays([pa.array(_tokens(b)[0].view(np.int64))], names=["key"])
+
+
+def _leads(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The uncommon ones among the first values of each set, as (values, which set), and the sets that have a common one there.
+
+    First come uncommon values, then common ones, either by value; of these, so many
+    that a linked pair cannot miss each other's: such a pair shares an uncommon one,
+    or each has a common one.
+    """
+    size = np.diff(ends)
+    lead = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((tokens, common, of))
+    first = np.arange(len(tokens)) - np.repeat(ends[:-1], size) < np.repeat(lead, size)
+    order, of = order[first], of[first]
+    rare = ~common[order]
+    return tokens[order[rare]], of[rare], np.bincount(of[~rare], minlength=len(size)) > 0
+
+
+def _uncommon(plan: Plan, common):
+    """(grp, node, data) to (key, node): the members by their uncommon first values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches, 2048):
+            tokens, ends = _tokens(b)
+            keys, of, _ = _leads(tokens, ends, passes(common.value, tokens), plan.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1).take(pa.array(of))], names=["key", "node"])
+
+    return run
+
+
+def _alike_at_most(plan: Plan, common):
+    """(grp, node, data): those that may be linked with others by common values alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches, 2048):
+            tokens, ends = _tokens(b)
+            yield b.filter(pa.array(_leads(tokens, ends, passes(common.value, tokens), plan.percent)[2]))
+
+    return run
+
+
 def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Verified pairs within keys of more members than one piece holds: with a few of them, then in blocks."""
+    """Verified pairs within keys of more members than one piece holds.
+
+    Most such keys are phrases in many units that are otherwise unlike, so that their
+    pairs are not all compared: linked ones share one of their first values that at most
+    `_RARE` of the key's members have, or are both made of what more of them have. The
+    latter are near copies; they are compared with a few of them, then in blocks.
+    """
     members = saved(many.join(sets.select("node", "shingles"), "node").select(F.col("key").alias("grp"), "node", F.col("shingles").alias("data")), "hot")
+    often = members.mapInArrow(_token_rows, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min(_RARE, plan.piece))
+    common = sieve(saved(often.select("key"), "common"))  # what it lets through besides counts as common, everywhere alike
+    rare = members.mapInArrow(_uncommon(plan, common), "key long, node long")
+    lists = rare.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(plan.piece), "key long, part int, nodes array<long>")
+    groups = saved(lists.select("nodes").where("size(nodes) > 1").distinct().select(F.monotonically_increasing_id().alias("piece"), "nodes"), "pieces")
+    full = groups.select("piece", F.explode("nodes").alias("node")).join(sets.select("node", "shingles"), "node").groupBy("piece").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+    found = full.select("members").mapInArrow(_verify(plan), "a long, b long")
+
+    members = saved(members.mapInArrow(_alike_at_most(plan, common), members.schema), "alike")
     edges, marks = settled(members, alike_sets(plan.percent))
     lists = in_pieces(members, marks, plan.piece).groupBy("grp", "x", "y").agg(F.collect_list(F.struct("node", F.col("data").alias("shingles"))).alias("members"))
-    return edges.union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
+    return found.union(edges).union(lists.select("members").mapInArrow(_verify(plan), "a long, b long"))
 
 
 def _fits(src: DataFrame) -> bool:

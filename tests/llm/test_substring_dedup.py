@@ -345,3 +345,30 @@ def test_classes_are_not_looked_up_by_number(spark, monkeypatch):
     gone = substring_dedup._gone(src, substring_dedup.WHOLE, True, True)
     assert sorted((g["doc_id"], g["begin"], g["stop"], g["keep"]["doc_id"]) for g in gone.collect()) == sorted([(0, 42, 72, 0), *((k, at, at + 30, 0) for k in range(1, 6) for at in (12, 42))])
     assert all("f1#" not in p for p in plans["collided"])  # the table of all classes is not read
+
+
+@pytest.mark.parametrize(("piece", "rare"), [(128, 16), (16, 2)])
+def test_a_phrase_in_many_unlike_units(spark, monkeypatch, piece, rare):
+    """Of a large group under one key all linked pairs are found, and units that only have its phrase in common are not put into blocks."""
+    r, sets, phrase = random.Random(17), [], random.Random(18).sample(range(2**62), 2)
+    whole = r.sample(range(2**62), 40)
+    for k in range(400):  # unlike but for the phrase, some with a copy that lacks one value
+        own = [*phrase, *r.sample(range(2**62), r.choice((4, 8, 30)))]
+        sets += [set(own), *([set(own[:-1])] if k % 5 == 0 else [])]
+    sets += [{*phrase, *(x if r.random() < 0.95 else r.randrange(2**62) for x in whole)} for _ in range(60)]  # near copies
+    groups = [(1, range(len(sets))), (2, range(0, len(sets), 2))]
+    wanted = {(a, b) for _, g in groups for a in g for b in g if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    placed, in_pieces = [], substring_dedup.in_pieces
+
+    def seen(members, *args):
+        placed.append(in_pieces(members, *args))
+        return placed[-1]
+
+    monkeypatch.setattr(substring_dedup, "in_pieces", seen)
+    monkeypatch.setattr(substring_dedup, "_RARE", rare, raising=False)
+    many = spark.createDataFrame([(key, n) for key, g in groups for n in g], "key long, node long")
+    data = spark.createDataFrame([(n, bytearray(np.array(sorted(s), np.uint64).tobytes())) for n, s in enumerate(sets)], "node long, shingles binary")
+    found = [(min(e), max(e)) for e in substring_dedup._hot_keys(many, data, Plan(piece=piece)).collect()]
+    assert set(found) <= wanted and forest(iter(found)) == forest(iter(wanted)) and len(wanted) > 200
+    nodes = {x.node for p in placed for x in p.select("node").distinct().collect()}
+    assert len([n for n in nodes if n < len(sets) - 60]) <= 20
