@@ -382,9 +382,28 @@ def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return K.mix(flat ^ K.mix(np.repeat(b.column(0).to_numpy().view(np.uint64), np.diff(ends)))), ends
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in K.slices(batches, 2048):
-        yield pa.RecordBatch.from_arrays([pa.array(_tokens(b)[0].view(np.int64))], names=["key"])
+_PARTS = 128  # tables in which values are counted
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, node, data) to (part, keys, counts): how often each value occurs in a batch, by the values' first bits."""
+    for b in batches:
+        keys, n = np.unique(_tokens(b)[0], return_counts=True)
+        sizes = np.bincount((keys >> _U(57)).astype(np.int64), minlength=_PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS), pa.int64()), _binaries(keys, sizes), _binaries(n.astype(np.int64), sizes)], names=["part", "keys", "counts"])
+
+
+def _over(most: int):
+    """Lists of the (keys, counts) of a part to the keys that occur more than `most` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in b.column(0):
+                keys, n = (np.frombuffer(b"".join(x[k].as_py() for x in rows), t) for k, t in (("keys", np.int64), ("counts", np.int64)))
+                found, at = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[np.bincount(at, n, len(found)) > most])], names=["key"])
+
+    return run
 
 
 def _leads(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -436,8 +455,9 @@ def _hot_keys(many: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     latter are near copies; they are compared with a few of them, then in blocks.
     """
     members = saved(many.join(sets.select("node", "shingles"), "node").select(F.col("key").alias("grp"), "node", F.col("shingles").alias("data")), "hot")
-    often = members.mapInArrow(_token_rows, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min(_RARE, plan.piece))
-    common = sieve(saved(often.select("key"), "common"))  # what it lets through besides counts as common, everywhere alike
+    counted = members.mapInArrow(_counted, "part long, keys binary, counts binary").groupBy("part").agg(F.collect_list(F.struct("keys", "counts")).alias("rows"))
+    often = counted.select("rows").mapInArrow(_over(min(_RARE, plan.piece)), "key long")
+    common = sieve(saved(often, "common"))  # what it lets through besides counts as common, everywhere alike
     rare = members.mapInArrow(_uncommon(plan, common), "key long, node long")
     lists = rare.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(plan.piece), "key long, part int, nodes array<long>")
     groups = saved(lists.select("nodes").where("size(nodes) > 1").distinct().select(F.monotonically_increasing_id().alias("piece"), "nodes"), "pieces")
